@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import boilerplate, repetition, tokens
-from foliospark.sources.tables import recognition, table
+from foliospark.llm import boilerplate, lookalike, repetition, tokens
+from foliospark.sources.tables import explode_elements, recognition, table
 
 
 def p1_boilerplate(spark: SparkSession, sf_dir: str) -> boilerplate.Boilerplate:
@@ -37,11 +37,26 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_shares(spark, sf_dir).where(F.col("repeated_share") >= repetition.MIN_SHARE).select("table_name", "row_key")
 
 
+def p4_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, text) of code matches and elements."""
+    matches = table(spark, sf_dir, "code_match").select(F.concat(F.lit("c"), "match_id").alias("key"), F.col("pdf_text").alias("text"))
+    elements = explode_elements(recognition(spark, sf_dir, ["text"], ["rec_id"]), ["text"])
+    return matches.unionByName(elements.select(F.concat(F.lit("r"), F.concat_ws("-", "rec_id", "page_number", "elem_no")).alias("key"), "text"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.same_looking(p4_given(spark, sf_dir))
+
+
+def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.unified(p4_given(spark, sf_dir), ["key"]).dropDuplicates(["key"])
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p2_found, p2_shares, p8_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p2_found, p2_shares, p4_found, p4_texts, p8_ids)}
 
 ORACLE: dict[str, str] = {}
 
