@@ -89,7 +89,7 @@ def by_code(codes: np.ndarray, of) -> np.ndarray:
 
 def script(code: int) -> int:
     """1 for a Latin letter, 2 for a Greek or Cyrillic one, else 0."""
-    if code < 0x250 or 0x1E00 <= code < 0x1F00 or 0xFF21 <= code <= 0xFF5A:
+    if code < 0x250 or 0x1E00 <= code < 0x1F00 or code in (0x212A, 0x212B) or 0xFF21 <= code <= 0xFF5A:
         return int(chr(code).isalpha())
     return 2 * int((0x370 <= code < 0x530 or 0x1F00 <= code < 0x2000) and chr(code).isalpha())
 

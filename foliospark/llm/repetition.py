@@ -32,8 +32,8 @@ GROUP_CHARS = 4_000_000
 #: Observations of a segment: constant, repeated share, any repeated, share at least SEGMENT_SHARE, shorter than STRETCH.
 FEATURES = 5
 #: Fitted by fit() on the first 200 texts of each table at the smallest scale: emission weights for label 1 less label 0, and transitions.
-EMISSION = np.array([-0.682, 1.137, 1.219, 1.227, -0.548])
-TRANSITION = np.array([[1.504, -0.93], [-0.926, 0.352]])
+EMISSION = np.array([-2.21, 2.964, 3.475, 3.993, -1.16])
+TRANSITION = np.array([[2.076, -0.801], [-0.355, -0.92]])
 
 TOKEN = re.compile(r"\w+|[\n.!?]")
 
@@ -153,7 +153,7 @@ def measure(texts: list[str], emission: np.ndarray = EMISSION, transition: np.nd
     return labelled, exact
 
 
-def fit(texts: list[str], steps: int = 300, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+def fit(texts: list[str], steps: int = 3000, rate: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the field by gradient ascent of the labels' likelihood, on a bounded list of texts.
 
     A segment's label in fitting is whether at least SEGMENT_SHARE of its words was said before.
