@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import boilerplate, lookalike, repetition, tokens
+from foliospark.llm import boilerplate, lookalike, repetition, tokens, truncation
 from foliospark.sources.tables import explode_elements, recognition, table
 
 
@@ -56,7 +56,19 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p2_found, p2_shares, p4_found, p4_texts, p8_ids)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.Truncation(table(spark, sf_dir, "documents")).found()
+
+
+def p10_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.Truncation(table(spark, sf_dir, "documents")).limits().drop("v")
+
+
+def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.Truncation(table(spark, sf_dir, "documents")).sources()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p2_found, p2_shares, p4_found, p4_texts, p8_ids, p10_found, p10_limits, p10_sources)}
 
 ORACLE: dict[str, str] = {}
 
