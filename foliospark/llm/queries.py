@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import boilerplate, lookalike, repetition, tokens, truncation
+from foliospark.llm import boilerplate, lookalike, matching, repetition, tokens, truncation
 from foliospark.sources.tables import explode_elements, recognition, table
 
 
@@ -52,6 +52,24 @@ def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.unified(p4_given(spark, sf_dir), ["key"]).dropDuplicates(["key"])
 
 
+def p7_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Code matches as queries, code elements as documents."""
+    queries = table(spark, sf_dir, "code_match").select(F.col("match_id").cast("string").alias("q"), F.col("pdf_text").alias("text"), F.col("pdf_name").alias("name"), F.col("page_number").alias("page"))
+    elements = explode_elements(recognition(spark, sf_dir, ["label", "text"], ["rec_id", "source_file"]), ["label", "text"]).where("label = 'code'")
+    documents = elements.select(F.concat_ws("-", "rec_id", "page_number", "elem_no").alias("d"), "text", F.col("source_file").alias("name"), F.col("page_number").alias("page"))
+    return queries, documents
+
+
+def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = matching.match(*p7_sides(spark, sf_dir))
+    key = F.split("d", "-")
+    return found.select(key[0].cast("bigint").alias("rec_id"), key[1].cast("int").alias("page_number"), key[2].cast("int").alias("elem_no"), F.col("q").cast("bigint").alias("match_id"), "score", "confidence")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_pairs(spark, sf_dir).select("rec_id", "page_number", "elem_no", "match_id")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -68,7 +86,7 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.Truncation(table(spark, sf_dir, "documents")).sources()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p2_found, p2_shares, p4_found, p4_texts, p8_ids, p10_found, p10_limits, p10_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p2_found, p2_shares, p4_found, p4_texts, p7_found, p7_pairs, p8_ids, p10_found, p10_limits, p10_sources)}
 
 ORACLE: dict[str, str] = {}
 

@@ -23,9 +23,9 @@ from foliospark.runtime import materialize, measured_join
 
 #: A limit is a length of at least so many distinct texts of a source, and so many times the mean of the lengths within NEAR,
 #: at least LIMIT_OPEN of which don't end as a complete text does.
-LIMIT_TEXTS = 4
+LIMIT_TEXTS = 5
 LIMIT_TIMES = 8
-LIMIT_OPEN = 0.6
+LIMIT_OPEN = 0.7
 NEAR = 50
 #: A word part: a last word seen elsewhere at most so often, that begins a word seen at least so often.
 RARE_WORD = 2
@@ -180,7 +180,7 @@ class Truncation:
 
     def limits(self) -> DataFrame:
         """(source, variant, length, texts): lengths that far more distinct texts have than those near them."""
-        each = self.rows.select(F.coalesce("source", F.lit("")).alias("source"), "h", F.col("kind").isin("cut", "dots", "item").cast("int").alias("open"), F.posexplode("lengths").alias("v", "length"))
+        each = self.rows.select(F.coalesce("source", F.lit("")).alias("source"), "h", F.col("kind").isin("cut", "dots").cast("int").alias("open"), F.posexplode("lengths").alias("v", "length"))
         counts = each.groupBy("source", "v", "length", "h").agg(F.max("open").alias("open")).groupBy("source", "v", "length").agg(F.count(F.lit(1)).alias("texts"), F.sum("open").alias("open"))
         counts = materialize(counts)
         peaks = counts.where((F.col("texts") >= LIMIT_TEXTS) & (F.col("open") >= LIMIT_OPEN * F.col("texts")))

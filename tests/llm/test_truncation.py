@@ -3,8 +3,8 @@ import pytest
 from foliospark.llm.truncation import Truncation, ending, lengths
 
 FULL = ["All is well.", "Done!", "He said \"so.\"", "(All of it.)", "| a | b |\n|---|---|\n| c | d |", "x\n```\ncode\n```", "A line. And more.\n\n", "Symbols ½ →"]
-CUT = ["The pump was drai", "One. Two thr", "| a | b |\n|---|---|\n| c | d", "| a | b |\n|---|---|\n| c |", "x\n```\ncode", "text ``", "ends with a mark�", "The pump,", "- ", "Die Pumpe ZV-1: öffnet das", "Le débit (730 rpm)"]
-DOUBT = {"# A heading": "heading", "Spares: seal; rotor": "heading", "a -> b -> c": "heading", "Soxra manual, sheet 5": "heading", "- Rinse the magnet": "item", "2. Lower the mast, 5 m": "item", "and so on...": "dots", "The reg…": "dots", "It was 12.": "stop"}
+CUT = ["The pump was drai", "One. Two thr", "| a | b |\n|---|---|\n| c | d", "| a | b |\n|---|---|\n| c |", "x\n```\ncode", "text\n``", "ends with a mark�", "The pump,", "- ", "Die Pumpe ZV-1: öffnet das", "Le débit (730 rpm)"]
+DOUBT = {"# A heading": "heading", "Spares: seal; rotor": "heading", "seal -> rotor -> mast": "heading", "Soxra manual, sheet 5": "heading", "- Rinse the magnet": "item", "2. Lower the mast, 5 m": "item", "and so on...": "dots", "The reg…": "dots", "It was 12.": "stop"}
 
 
 @pytest.mark.parametrize("text,kind", [*((t, "complete") for t in FULL), *((t, "cut") for t in CUT), *DOUBT.items()])
