@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import boilerplate, lookalike, matching, repetition, tokens, truncation
+from foliospark.llm import boilerplate, lookalike, markup, matching, repetition, tokens, truncation
 from foliospark.sources.tables import explode_elements, recognition, table
 
 
@@ -37,6 +37,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_shares(spark, sf_dir).where(F.col("repeated_share") >= repetition.MIN_SHARE).select("table_name", "row_key")
 
 
+def p3_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.cleaned(table(spark, sf_dir, "job_result").withColumnRenamed("markdown", "text"), ["job_id"])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_texts(spark, sf_dir).where("n_markup > 0").select("job_id")
+
+
 def p4_given(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, text) of code matches and elements."""
     matches = table(spark, sf_dir, "code_match").select(F.concat(F.lit("c"), "match_id").alias("key"), F.col("pdf_text").alias("text"))
@@ -86,7 +94,7 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.Truncation(table(spark, sf_dir, "documents")).sources()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p2_found, p2_shares, p4_found, p4_texts, p7_found, p7_pairs, p8_ids, p10_found, p10_limits, p10_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p2_found, p2_shares, p3_found, p3_texts, p4_found, p4_texts, p7_found, p7_pairs, p8_ids, p10_found, p10_limits, p10_sources)}
 
 ORACLE: dict[str, str] = {}
 
