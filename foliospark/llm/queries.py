@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import boilerplate, lookalike, markup, matching, repetition, tokens, truncation
+from foliospark.llm import boilerplate, lookalike, markup, matching, mixing, repetition, scanned, tokens, truncation
 from foliospark.sources.tables import explode_elements, recognition, table
 
 
@@ -60,6 +60,22 @@ def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.unified(p4_given(spark, sf_dir), ["key"]).dropDuplicates(["key"])
 
 
+def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognition(spark, sf_dir, ["label", "text", "reading_order"], ["rec_id", "source_file"])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.repaired(p5_records(spark, sf_dir), "elements").select("rec_id", "page_number", "elem_no")
+
+
+def p5_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.repaired(p5_records(spark, sf_dir), "elements")
+
+
+def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.repaired(p5_records(spark, sf_dir), "paragraphs")
+
+
 def p7_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Code matches as queries, code elements as documents."""
     queries = table(spark, sf_dir, "code_match").select(F.col("match_id").cast("string").alias("q"), F.col("pdf_text").alias("text"), F.col("pdf_name").alias("name"), F.col("page_number").alias("page"))
@@ -82,6 +98,18 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p9_mixture(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
+    return mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+
+
+def p9_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_mixture(spark, sf_dir).chosen()
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_mixture(spark, sf_dir).shares()
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.Truncation(table(spark, sf_dir, "documents")).found()
 
@@ -94,7 +122,7 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.Truncation(table(spark, sf_dir, "documents")).sources()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p2_found, p2_shares, p3_found, p3_texts, p4_found, p4_texts, p7_found, p7_pairs, p8_ids, p10_found, p10_limits, p10_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p2_found, p2_shares, p3_found, p3_texts, p4_found, p4_texts, p5_found, p5_elements, p5_paragraphs, p7_found, p7_pairs, p8_ids, p9_chosen, p9_shares, p10_found, p10_limits, p10_sources)}
 
 ORACLE: dict[str, str] = {}
 
