@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliospark.plans import nested
+from foliospark.plans import nested, records, refine
 
-MODULES = [nested]
+MODULES = [nested, refine, records]
 
 
 def queries() -> dict:

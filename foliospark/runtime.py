@@ -38,3 +38,8 @@ def measured_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "i
     if small.limit(rows + 1).count() <= rows:
         return big.join(F.broadcast(small), on, how)
     return big.join(small.hint("merge"), on, how)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows over all shuffle partitions by columns, before work that costs far more than its bytes show (which AQE would join into few tasks)."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
