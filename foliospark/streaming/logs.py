@@ -24,7 +24,8 @@ def log_stream(spark: SparkSession, path: str, schema: str = "job_id string, ts
 def until_terminal(events: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame:
     """(job_id, line) of a stream, up to and with each job's terminal line; a job that is silent for too long ends with TIMED_OUT.
 
-    State is one flag for each job; lines are ordered within a batch by ts and received_at. Null jobs and lines are dropped.
+    Timeouts fire in batches without data, so a run that is to end with the available data has
+    spark.sql.streaming.noDataMicroBatches.enabled off. State is one flag for each job; lines are ordered within a batch by ts and received_at. Null jobs and lines are dropped.
     """
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -57,11 +57,13 @@ def test_log_streams(spark, tmp_path):
     assert {(r.job_id, r.step) for r in logs.last_steps(df).collect()} == {("a", 12), ("b", 2)}
     table = sorted((r.job_id, r.line) for r in logs.until_terminal_table(df).collect())
     assert table == [("a", "Step 1/3: x"), ("a", "Step 12 finished"), ("a", "__DONE__"), ("b", "Step 2/3")]
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     stream = logs.until_terminal(logs.log_stream(spark, str(tmp_path / "in")))
     logs.publish(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert sorted({(r.job_id, r.line) for r in spark.read.parquet(str(tmp_path / "out")).collect()}) == table
     seen = []
     logs.run_batches(logs.log_stream(spark, str(tmp_path / "in")), lambda b, i: seen.append(b.count()), str(tmp_path / "ck2")).awaitTermination(120)
     assert sum(seen) == len(rows)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     steps = logs.steps_alive(logs.last_steps(df), F.timestamp_seconds(F.lit(86400 + 2)))
     assert {r.job_id for r in steps.collect()} == {"a", "b"}
