@@ -124,7 +124,27 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p2_found, p2_shares, p3_found, p3_texts, p4_found, p4_texts, p5_found, p5_elements, p5_paragraphs, p7_found, p7_pairs, p8_ids, p9_chosen, p9_shares, p10_found, p10_limits, p10_sources)}
 
-ORACLE: dict[str, str] = {}
+#: Records once, their elements that aren't null, and the elements' lines.
+ELEMENTS = """r as (select rec_id, any_value(source) as source, any_value(pages) as pages from recognition_json group by rec_id),
+pg as (select rec_id, source, unnest(pages) as p from r),
+pe as (select rec_id, source, p.page_number as page_number, list_filter(p.elements, lambda e: e is not null) as es from pg),
+el as (select rec_id, source, page_number, i as elem_no, es[i].label as label, es[i].text as text from pe, unnest(range(1, len(es) + 1)) as t(i))"""
+
+ORACLE: dict[str, str] = {
+    "p1_found": f"""with {ELEMENTS}, sp as (select *, string_split(text, chr(10)) as s from el where source is not null and text is not null and coalesce(label, '') <> 'code'),
+ ln as (select source, rec_id, page_number, elem_no, i as line_no, trim(regexp_replace(lower(s[i]), '[^\\p{{L}}]+', ' ', 'g')) as form from sp, unnest(range(1, len(s) + 1)) as t(i)),
+ n as (select source, count(distinct rec_id) as n from r where source is not null group by source),
+ k as (select source, form, count(distinct rec_id) as m from ln where length(replace(form, ' ', '')) >= 8 group by source, form having count(distinct rec_id) >= 4)
+select ln.rec_id, ln.page_number, ln.elem_no::int as elem_no, ln.line_no::int as line_no from ln join k using (source, form) join n using (source) where k.m * 10 >= n.n""",
+    "p2_found": f"""with {ELEMENTS}, tx as (select 'job_result' as table_name, job_id as row_key, markdown as text from job_result where markdown is not null
+  union all select 'recognition_json', rec_id::varchar, string_agg(text, chr(10) order by page_number, elem_no) from el where text is not null group by rec_id),
+ w as (select table_name, row_key, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') as ws from tx),
+ g as (select table_name, row_key, i, array_to_string(ws[i:i + 4], ' ') as gram from w, unnest(range(1, len(ws) - 3)) as t(i)),
+ a as (select table_name, row_key, i, row_number() over (partition by table_name, row_key, gram order by i) > 1 as again from g),
+ m as (select distinct table_name, row_key, i + d as i from a, (select unnest([0, 1, 2, 3, 4]) as d) where again),
+ c as (select table_name, row_key, count(*) as n from m group by table_name, row_key)
+select c.table_name, c.row_key from c join w using (table_name, row_key) where c.n >= 0.3 * len(w.ws)""",
+}
 
 
 def queries() -> dict:
