@@ -36,8 +36,8 @@ FURNITURE = frozenset("a nav script style header footer form input button select
 PROTECTED = re.compile(
     r"(?P<fence>^[ ]{0,3}(?P<ticks>`{3,}|~{3,})[^\n]*\n(?:.*?^[ ]{0,3}(?P=ticks)[`~]*[ \t]*$|.*\Z))"
     r"|(?P<block>(?:(?<=\n\n)|\A)(?:(?: {4}|\t)[^\n]*(?:\n|\Z))+)"
-    r"|(?P<inline>(?P<tick>`+)(?!`).+?(?<!`)(?P=tick)(?!`))"
-    r"|(?P<display>\$\$.+?\$\$)"
+    r"|(?P<inline>(?P<tick>`+)(?!`)(?:[^\n]|\n(?!\s*\n))+?(?<!`)(?P=tick)(?!`))"
+    r"|(?P<display>\$\$(?:[^\n]|\n(?!\s*\n))+?\$\$)"
     r"|(?P<math>(?<![\\\w$])\$(?=[^\s$])(?:[^$\n]*[\\^_{}=+][^$\n]*|[A-Za-z])(?<=\S)\$(?!\d))",
     re.S | re.M,
 )
@@ -155,12 +155,24 @@ def pipe_table(rows: list[list[str]]) -> str:
     return "\n\n" + "\n".join([lines[0], "|" + "---|" * width, *lines[1:]]) + "\n\n"
 
 
+def paired(text: str, name: str, make) -> str:
+    """Each element of a name, from its tag to the next closing one, as `make` gives it from (attributes, content).
+
+    Only the text up to the last closing tag is searched, so that tags that are never closed cost nothing.
+    """
+    end = max((m.end() for m in re.finditer(rf"</{name}\s*>", text, re.I)), default=0)
+    if not end:
+        return text
+    return re.sub(rf"<{name}\b([^<>]*)>(.*?)</{name}\s*>", lambda m: make(m.group(1), m.group(2)), text[:end], flags=re.S | re.I) + text[end:]
+
+
 def html_tables(text: str) -> str:
-    def table(m: re.Match) -> str:
-        rows = re.findall(r"<tr\b[^>]*>(.*?)(?=<tr\b|</table|\Z|</tr>)", m.group(), re.S | re.I)
-        return pipe_table([[cell(re.sub(r"<[^>]*>", "", c)) for c in re.findall(r"<t[dh]\b[^>]*>(.*?)(?=</?t[dhr]\b|\Z)", r, re.S | re.I)] for r in rows])
+    def table(_: str, inner: str) -> str:
+        rows = re.split(r"<tr\b[^<>]*>", inner, flags=re.I)[1:]
+        cells = [re.split(r"<t[dh]\b[^<>]*>", re.sub(r"</tr\s*>.*", "", r, flags=re.S | re.I), flags=re.I)[1:] for r in rows]
+        return pipe_table([[cell(re.sub(r"<[^<>]*>", "", c)) for c in r] for r in cells])
 
-    return re.sub(r"<table\b[^>]*>.*?</table\s*>", table, text, flags=re.S | re.I)
+    return paired(text, "table", table)
 
 
 def wiki_table(text: str) -> str:
@@ -207,20 +219,31 @@ def latex(text: str) -> str:
 
 def convert_html(text: str) -> str:
     text = re.sub(r"<!--.*?(?:-->|\Z)|<![A-Za-z][^>\n]*>", "", text, flags=re.S)
-    text = re.sub(r"<(script|style|head)\b[^>]*>.*?</\1\s*>", "", text, flags=re.S | re.I)
+    for name in ("script", "style", "head"):
+        text = paired(text, name, lambda _, inner: "")
     text = html_tables(text)
-    text = re.sub(r"<pre\b[^>]*>(.*?)</pre\s*>", lambda m: "\n\n```\n" + re.sub(r"</?code[^>]*>", "", m.group(1)).strip("\n") + "\n```\n\n", text, flags=re.S | re.I)
-    text = re.sub(r"<h([1-6])\b[^>]*>(.*?)</h\1\s*>", lambda m: f"\n\n{'#' * int(m.group(1))} {m.group(2).strip()}\n\n", text, flags=re.S | re.I)
-    text = re.sub(r"<a\b[^>]*?href\s*=\s*[\"']?([^\"'\s>]+)[\"']?[^>]*>(.*?)</a\s*>", lambda m: m.group(2) if m.group(1).startswith("#") else f"[{m.group(2)}]({m.group(1)})", text, flags=re.S | re.I)
-    text = re.sub(r"<img\b([^>]*)>", lambda m: "![%s](%s)" % tuple((re.search(k + r"\s*=\s*[\"']?([^\"'>]*)", m.group(1)) or ["", ""])[1].strip() for k in ("alt", "src")), text, flags=re.I)
-    for names, mark in (("b|strong", "**"), ("i|em", "*"), ("code|tt|kbd|samp", "`"), ("s|strike|del", "~~")):
-        text = re.sub(rf"<({names})\b[^>]*>(.*?)</\1\s*>", rf"{mark}\2{mark}", text, flags=re.S | re.I)
-    for ordered in re.findall(r"<ol\b[^>]*>.*?</ol\s*>", text, re.S | re.I):
-        text = text.replace(ordered, re.sub(r"<li\b[^>]*>\s*", "\n1. ", ordered, flags=re.I))
-    text = re.sub(r"\s*<li\b[^>]*>\s*", "\n- ", text, flags=re.I)
+    text = paired(text, "pre", lambda _, inner: "\n\n```\n" + re.sub(r"</?code[^<>]*>", "", inner).strip("\n") + "\n```\n\n")
+    for level in range(1, 7):
+        text = paired(text, f"h{level}", lambda _, inner, mark="#" * level: f"\n\n{mark} {inner.strip()}\n\n")
+
+    def link(attributes: str, inner: str) -> str:
+        to = re.search(r"href\s*=\s*[\"']?([^\"'\s>]+)", attributes, re.I)
+        return f"[{inner}]({to.group(1)})" if to and not to.group(1).startswith("#") else inner
+
+    def image(m: re.Match) -> str:
+        found = [re.search(k + r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+))", m.group(1), re.I) for k in ("alt", "src")]
+        alt, src = (next((g for g in f.groups() if g is not None), "") if f else "" for f in found)
+        return f"![{alt}]({src})"
+
+    text = paired(text, "a", link)
+    text = re.sub(r"<img\b([^<>]*)>", image, text, flags=re.I)
+    for name, mark in (("b", "**"), ("strong", "**"), ("i", "*"), ("em", "*"), ("code", "`"), ("tt", "`"), ("kbd", "`"), ("samp", "`"), ("s", "~~"), ("strike", "~~"), ("del", "~~")):
+        text = paired(text, name, lambda _, inner, mark=mark: f"{mark}{inner}{mark}")
+    text = paired(text, "ol", lambda _, inner: "\n" + re.sub(r"<li\b[^<>]*>\s*", "\n1. ", inner, flags=re.I) + "\n\n")
+    text = re.sub(r"\s?<li\b[^<>]*>\s*", "\n- ", text, flags=re.I)
     text = re.sub(r"<br\s*/?>", "\n", text, flags=re.I)
-    text = re.sub(r"<hr\b[^>]*>", "\n\n---\n\n", text, flags=re.I)
-    text = re.sub(r"</?(?:p|div|ul|ol|section|article|blockquote|table|tr|dl|header|footer|center|main|nav)\b[^>]*>", "\n\n", text, flags=re.I)
+    text = re.sub(r"<hr\b[^<>]*>", "\n\n---\n\n", text, flags=re.I)
+    text = re.sub(r"</?(?:p|div|ul|ol|section|article|blockquote|table|tr|dl|header|footer|center|main|nav)\b[^<>]*>", "\n\n", text, flags=re.I)
     text = TOKEN.sub(lambda m: "" if m.group("tag") and is_markup(m) else m.group(), text)
     return re.sub(r"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", lambda m: html.unescape(m.group()).replace("\xa0", " "), text)
 

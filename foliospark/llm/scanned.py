@@ -222,7 +222,7 @@ def kinds_of(record: list[tuple[int, str | None, str]], name: str | None) -> lis
     A header repeats the record's title, which stands once as the title: where no element has the label `title`, the
     first that does so on the first page is taken for it.
     """
-    titles = {header_form(t) for _, label, t in record if label == "title"}
+    titles = {header_form(t) for _, label, t in record if label == "title" and len(t) < 300}
     labelled = bool(titles)
     titles = {t for t in titles | {stem_title(name)} if len(t) >= 6}
     kinds, first = [], True

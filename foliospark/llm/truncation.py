@@ -46,7 +46,7 @@ OPEN_WORDS = frozenset(
 LABEL = re.compile(r"[^\W\d_][\w .-]{0,40}: \S")
 TAIL = re.compile(r", [^\W\d_]+(?: [\d.:/-]+)?$")
 CLOSERS = {")": "(", "]": "[", "»": "«", "”": "“"}
-FENCE = re.compile(r"^\s*(?:```|~~~)", re.M)
+FENCE = re.compile(r"^[ \t]*(?:```|~~~)", re.M)
 
 
 def lengths(text: str) -> list[int]:
@@ -67,8 +67,10 @@ def item_form(item: str) -> str:
 
 
 def last_word(text: str) -> str:
-    m = re.search(r"([^\W\d_]+)$", text)
-    return m.group(1) if m else ""
+    at = len(text)
+    while at and text[at - 1].isalpha():
+        at -= 1
+    return text[at:]
 
 
 def heading_like(line: str) -> bool:
@@ -94,10 +96,9 @@ def ending(text: str) -> tuple[str, str, str]:
         return "complete", "", ""
     if re.fullmatch(r"`{1,2}", line.strip()):
         return "cut", "", ""
-    mark = re.search(r"\s*(?:\.{2,}|…)$", body)
-    bare = body[: mark.start()] if mark else body
-    if mark:
-        return "dots", last_word(bare), ""
+    bare = body.rstrip(".…")
+    if len(body) - len(bare) > 1 or body[-1] == "…":
+        return "dots", last_word(bare.rstrip()), ""
     if line.lstrip().startswith("|"):
         if not line.endswith("|"):
             return "cut", "", ""
@@ -118,7 +119,8 @@ def ending(text: str) -> tuple[str, str, str]:
         whole = line[0] == opener or line[-2:-1] in tuple(".!?…") or heading_like(line[:-1] + "x")
         return ("complete" if even and whole else "cut"), "", ""
     if line[-1] == ".":
-        return ("stop" if re.search(r"(?:^|\s)\d+\.$", line) else "complete"), "", ""
+        head = line[:-1].rstrip("0123456789")
+        return ("stop" if len(head) < len(line) - 1 and (not head or head[-1].isspace()) else "complete"), "", ""
     if line[-1] in "!?。！？":
         return "complete", "", ""
     if not re.search(r"[.!?][\"')]? +\S", line) and heading_like(line):
