@@ -87,11 +87,17 @@ def by_code(codes: np.ndarray, of) -> np.ndarray:
     return np.array([of(int(x)) for x in known], np.int64)[inverse] if len(known) else np.zeros(0, np.int64)
 
 
-def script(code: int) -> int:
-    """1 for a Latin letter, 2 for a Greek or Cyrillic one, else 0."""
-    if code < 0x250 or 0x1E00 <= code < 0x1F00 or code in (0x212A, 0x212B) or 0xFF21 <= code <= 0xFF5A:
-        return int(chr(code).isalpha())
-    return 2 * int((0x370 <= code < 0x530 or 0x1F00 <= code < 0x2000) and chr(code).isalpha())
+def letters_of(code: int, names: tuple[str, ...]) -> int:
+    """How many letters of the named scripts a code point's parts have."""
+    return sum(q < 0xD800 and chr(q).isalpha() and unicodedata.name(chr(q), "").startswith(names) for q in decomposed(code, False))
+
+
+def latin_letters(code: int) -> int:
+    return letters_of(code, ("LATIN",))
+
+
+def other_letters(code: int) -> int:
+    return letters_of(code, ("GREEK", "CYRILLIC"))
 
 
 def compose(codes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +107,8 @@ def compose(codes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return codes, text
     new = mark == 0
     new[1:] |= text[1:] != text[:-1]
-    cluster = np.cumsum(new) - 1 if len(new) and new[0] else np.cumsum(new)
+    new[0] = True
+    cluster = np.cumsum(new) - 1
     order = np.lexsort((np.arange(len(codes)), mark, cluster))
     codes, mark, text = codes[order].copy(), mark[order], text[order]
     head = np.flatnonzero(new)
@@ -136,8 +143,7 @@ def unify(texts: list[str]) -> list[str]:
         size = np.array([len(t) for t in raw])
         codes = np.frombuffer("".join(raw).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         text = np.repeat(np.arange(len(raw)), size)
-        kind = by_code(codes, script)
-        latin = np.bincount(text[kind == 1], minlength=len(raw)) >= np.bincount(text[kind == 2], minlength=len(raw))
+        latin = np.bincount(text, by_code(codes, latin_letters), len(raw)) >= np.bincount(text, by_code(codes, other_letters), len(raw))
         codes, count = table(codes, latin[text].astype(np.int64))
         codes, text = compose(codes, np.repeat(text, count))
         whole = codes.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")

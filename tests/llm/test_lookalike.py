@@ -12,8 +12,7 @@ ALPHABET = "ab C\n1²é" + "ȩ̣́̈ñÅÅﬁ​­ ‑–ｅаоΜ"
 def one_by_one(text):
     """By definition: each character mapped, then canonical composition."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    kinds = [lookalike.script(ord(c)) for c in text]
-    fold = kinds.count(1) >= kinds.count(2)
+    fold = sum(lookalike.latin_letters(ord(c)) for c in text) >= sum(lookalike.other_letters(ord(c)) for c in text)
     return unicodedata.normalize("NFC", "".join(chr(q) for c in text for q in lookalike.decomposed(ord(c), fold)))
 
 
