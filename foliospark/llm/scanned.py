@@ -37,6 +37,8 @@ CONFUSED, SPLIT, UNKNOWN, UNKNOWN_CHARACTER = 3.0, 6.0, 14.0, 1.0
 MAX_CONFUSIONS = 2
 #: A frequent word is itself a misreading if undoing one confusion gives a word so many times as frequent.
 MISREAD_TIMES = 50
+#: Labels of running text; what has another label is a paragraph of its own.
+RUNNING = frozenset(("para", None))
 SKIPPED_LABELS = frozenset(("code", "tab", "fig"))
 
 BREAK = re.compile(r"([^\W\d_])[-‐‑­][ \t]*\r?\n[ \t]*(?=[^\W\d_])")
@@ -262,8 +264,8 @@ def lexicon(records: DataFrame) -> dict[str, int]:
     return {r["word"]: r["n"] for r in counts.join(F.broadcast(total)).where(F.col("n") >= least).select("word", "n").collect()}  # total: one row
 
 
-def paragraphs(lines: list[str], starts: list[bool]) -> list[str]:
-    """Lines joined into paragraphs: boundaries of least cost, by dynamic programming. starts: a new element begins."""
+def paragraphs(lines: list[str], starts: list[int]) -> list[str]:
+    """Lines joined into paragraphs: boundaries of least cost, by dynamic programming. starts: 1 where a new element begins, 2 where it or the one before is no running text."""
     n = len(lines)
     if not n:
         return []
@@ -273,8 +275,8 @@ def paragraphs(lines: list[str], starts: list[bool]) -> list[str]:
         """Costs of joining line i to the one before, and of a boundary there."""
         a, b = lines[i - 1].rstrip(), lines[i].lstrip()
         ended = a[-1:] in ".!?:…\"”»)" or not a
-        join = 4.0 * ended * (1.5 if starts[i] else 0.4) + 3.0 * (b[:1].isupper() and starts[i]) + 6.0 * bool(re.match(r"[-*•#|]|\d+[.)] ", b)) + 1.5 * (len(a) < 0.5 * width and ended)
-        stop = 3.5 * (not ended) + 3.0 * b[:1].islower() + 2.0 * (not starts[i])
+        join = 4.0 * ended * (1.5 if starts[i] else 0.4) + 3.0 * (b[:1].isupper() and starts[i]) + 6.0 * bool(re.match(r"[-*•#|]|\d+[.)] ", b)) + 1.5 * (len(a) < 0.5 * width and ended) + 50.0 * (starts[i] == 2)
+        stop = (3.5 if b[:1].islower() else 2.0) * (not ended) + 3.0 * b[:1].islower() + 2.0 * (not starts[i])
         return join, stop
 
     best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
@@ -330,13 +332,14 @@ def repaired(records: DataFrame, part: str) -> DataFrame:
                     if kind or breaks or undone:
                         rows.append((ids[owner[a]], number[i], int(ordinal[i]), kind or "text", breaks, undone, None if kind else fixed))
                     if part == "paragraphs" and not kind:
-                        flow.setdefault(number[i], []).append((order[i] if order[i] is not None else int(ordinal[i]) - 1, i, fixed))
+                        flow.setdefault(number[i], []).append((order[i] if order[i] is not None else int(ordinal[i]) - 1, i, fixed, label[i] in RUNNING))
                 for page_no, items in flow.items():
-                    lines, starts = [], []
-                    for _, i, fixed in sorted(items):
+                    lines, starts, before = [], [], True
+                    for _, _, fixed, running in sorted(items):
                         own_lines = fixed.replace("\r\n", "\n").split("\n")
                         lines += own_lines
-                        starts += [True] + [False] * (len(own_lines) - 1)
+                        starts += [1 if running and before else 2] + [0] * (len(own_lines) - 1)
+                        before = running
                     pages += [(ids[owner[a]], page_no, k + 1, decoder.close_gaps(p)) for k, p in enumerate(paragraphs(lines, starts))]
             cols, schema = (list(zip(*pages)) or [()] * 4, PARAGRAPHS) if part == "paragraphs" else (list(zip(*rows)) or [()] * 7, FOUND)
             kinds_by = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}

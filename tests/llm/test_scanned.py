@@ -37,6 +37,7 @@ def test_paragraphs():
     lines = ["The pump was drained", "and reset.", "The valve", "stood open.", "- an item"]
     assert paragraphs(lines, [True, False, True, False, True]) == ["The pump was drained and reset.", "The valve stood open.", "- an item"]
     assert paragraphs(["It goes on", "over two elements."], [True, True]) == ["It goes on over two elements."] and paragraphs([], []) == []
+    assert paragraphs(["A title", "The text", "goes on"], [1, 2, 0]) == ["A title", "The text goes on"]
 
 
 def test_spark(spark):
