@@ -1,10 +1,11 @@
 """Matching two tables that share no key: BM25 over all attributes, exact pruning, mutual nearest, calibrated confidence.
 
 Both sides become bags of terms from all their attributes: neighbouring word pairs of the code, the words of the file
-name, the page. An inverted index of the documents is joined with the queries. A term's largest possible
+name, the page. Blocks of documents are indexed in memory, and the queries pass by them. A term's largest possible
 contribution bounds what it can add, so a query looks up only its essential terms: with the rest alone a document
-can't reach the floor, a share of what the query's own terms add up to, below which nothing is a match.
-Documents found that way are ranked by their full scores; those whose bound is below the best score found are pruned.
+can't reach the floor, a share of what the query's own terms add up to, below which nothing is a match, or the
+second best score found. Common terms are seldom essential, but count in the bound and in the full scores by which the
+documents found are ranked.
 For the survivors the order-keeping overlap of both texts is measured, and the score, its gap to the runner-up, whether the pair is
 mutually nearest, the names and the pages give a confidence through a logistic function.
 """
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,14 +27,17 @@ from foliospark.llm.lookalike import unify
 from foliospark.runtime import materialize
 
 K1, B = 1.2, 0.5
-#: A term in more documents than the larger of these, a number and a share of all, weighs nothing: the inverse document
-#: frequency is taken against this bound instead of against the number of documents.
-COMMON_DOCUMENTS = 20
-COMMON_SHARE = 1e-4
 #: A match has at least this share of the score that all terms of the query could give.
 FLOOR_SHARE = 0.05
 #: ... and at least this many times the weight of a term that occurs in one document only.
 FLOOR_TERMS = 1.0
+#: ... but never more than this share of what those of its terms add up to that occur in documents at all.
+FLOOR_KNOWN = 0.5
+#: Documents indexed by one task: some 30 terms of 16 bytes each.
+BLOCK_DOCUMENTS = 1_000_000
+LEAST_BLOCKS = 6
+#: Postings that a query looks up before it takes its bar from what it found.
+LOOKED_UP = 256
 #: A pair is a match from this confidence on.
 MIN_CONFIDENCE = 0.7
 
@@ -104,60 +109,139 @@ def name_likeness(a: str | None, b: str | None) -> float:
     return overlap(x, y) / len(x)
 
 
-def term_rows(rows: DataFrame, key: str) -> DataFrame:
-    """(key, t, tf, len): hashed terms of rows with columns key, text, name, page. Blank texts have no terms."""
+def term_bags(rows: DataFrame, key: str) -> DataFrame:
+    """(key, t, tf, len): hashed terms of each row with columns key, text, name, page, and their frequencies. Blank texts have no terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             given = zip(*(batch.column(c).to_pylist() for c in (key, "text", "name", "page")))
             kept = [r for r in given if r[1] and not r[1].isspace()]
-            keys, hashes, counts, sizes = [], [], [], []
-            for (k, _, name, page), text in zip(kept, unify([r[1] for r in kept])):
-                own = terms(text, name, page)
-                n = sum(own.values())
-                keys += [k] * len(own)
-                hashes += [xxhash.xxh64_intdigest(t) - (1 << 63) for t in own]
-                counts += own.values()
-                sizes += [n] * len(own)
-            yield pa.record_batch({key: pa.array(keys, pa.string()), "t": pa.array(hashes, pa.int64()), "tf": pa.array(counts, pa.int32()), "len": pa.array(sizes, pa.int32())})
-
-    return rows.select(key, "text", "name", "page").mapInArrow(run, f"{key} string, t bigint, tf int, len int")
+            bags = [terms(text, name, page) for (_, _, name, page), text in zip(kept, unify([r[1] for r in kept]))]
+            hashes = [[xxhash.xxh64_intdigest(t) - (1 << 63) for t in bag] for bag in bags]
+            yield pa.record_batch({
+                key: pa.array([r[0] for r in kept], pa.string()), "t": pa.array(hashes, pa.list_(pa.int64())),
+                "tf": pa.array([list(bag.values()) for bag in bags], pa.list_(pa.int32())), "len": pa.array([sum(bag.values()) for bag in bags], pa.int32()),
+            })
+
+    return rows.select(key, "text", "name", "page").mapInArrow(run, f"{key} string, t array<bigint>, tf array<int>, len int")
+
+
+class Block:
+    """An inverted index of some documents, and the scores of queries against it."""
+
+    def __init__(self, ids: list[str], sizes: np.ndarray, t: np.ndarray, saturation: np.ndarray):
+        order = np.argsort(t, kind="stable")  # within a term the documents stay in order
+        t = t[order]
+        self.ids = ids
+        self.first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, np.int64)
+        self.keys = t[self.first]
+        self.first = np.append(self.first, len(t))
+        self.doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)[order]
+        self.saturation = saturation[order]
+        self.scores = np.zeros(len(ids))
+
+    def places(self, t: np.ndarray) -> np.ndarray:
+        """The place of each term in the index, -1 for those that no document here has."""
+        if not len(self.keys):
+            return np.full(len(t), -1)
+        at = np.minimum(np.searchsorted(self.keys, t), len(self.keys) - 1)
+        return np.where(self.keys[at] == t, at, -1)
+
+    def best(self, at: np.ndarray, idf: np.ndarray, most: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, full scores) of those that reach the floor and may be first or second.
+
+        Terms are looked up from the one that can add most, until the rest of them can't lift another document to the bar.
+        """
+        kept = at >= 0
+        at, idf, most = at[kept], idf[kept], most[kept]
+        order = np.argsort(-idf * most, kind="stable")
+        at, idf, most = at[order], idf[order], most[order]
+        rest = np.append(np.cumsum((idf * most)[::-1])[::-1], 0.0) * (1 + 1e-9)
+        start, end = self.first[at], self.first[at + 1]
+        hits = np.cumsum(end - start)
+        touched, bar, k = np.zeros(0, np.int32), floor, 0
+        while k < len(at) and rest[k] >= bar:
+            more = max(k + 1, int(np.searchsorted(hits, 4 * len(touched) + LOOKED_UP, "right")))
+            more = min(more, int(np.count_nonzero(rest[:-1] >= bar)))
+            docs = np.concatenate([self.doc[a:b] for a, b in zip(start[k:more], end[k:more])])
+            np.add.at(self.scores, docs, np.concatenate([w * self.saturation[a:b] for w, a, b in zip(idf[k:more], start[k:more], end[k:more])]))
+            touched, k = np.unique(np.concatenate((touched, docs))), more
+            if len(touched) > 1:
+                bar = max(bar, np.partition(self.scores[touched], -2)[-2])
+        found = touched[self.scores[touched] + rest[k] >= bar - 1e-9]
+        score = self.scores[found]
+        self.scores[touched] = 0.0
+        if len(found):
+            for w, a, b in zip(idf[k:], start[k:], end[k:]):
+                docs = self.doc[a:b]
+                i = np.minimum(np.searchsorted(docs, found), len(docs) - 1)
+                score += np.where(docs[i] == found, w * self.saturation[a:b][i], 0.0)
+            last = max(floor, np.partition(score, -2)[-2] if len(score) > 1 else 0.0)
+            found, score = found[score >= last - 1e-9], score[score >= last - 1e-9]
+        return found, np.round(score, 9)
+
+
+def block_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(q, d, score) from rows (block, query, id, t, saturation, idf, most, floor) sorted by the first two: documents are indexed, queries stream by."""
+    block, number, waiting = None, None, []
+    for batch in batches:
+        runs = pc.add(pc.multiply(batch.column("block"), 2), pc.cast(batch.column("query"), pa.int32())).to_numpy(zero_copy_only=False)
+        bounds = np.flatnonzero(np.concatenate(([True], runs[1:] != runs[:-1], [True]))) if len(runs) else []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            rows = batch.slice(a, b - a)
+            if number != runs[a] // 2:
+                number, block, waiting = runs[a] // 2, None, []
+            if not runs[a] % 2:
+                waiting.append(rows)
+                continue
+            if block is None:
+                if not waiting:
+                    continue
+                columns = pa.Table.from_batches(waiting)
+                lists = columns.column("t").combine_chunks()
+                block = Block(columns.column("id").to_pylist(), pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy(), columns.column("saturation").combine_chunks().flatten().to_numpy())
+                waiting = []
+            at = block.places(rows.column("t").flatten().to_numpy())
+            idf, most = (rows.column(c).flatten().to_numpy() for c in ("idf", "most"))
+            ends = np.cumsum(pc.list_value_length(rows.column("t")).to_numpy())
+            qs, ds, scores = [], [], []
+            for q, floor, i, j in zip(rows.column("id").to_pylist(), rows.column("floor").to_pylist(), np.append(0, ends[:-1]), ends):
+                docs, score = block.best(at[i:j], idf[i:j], most[i:j], floor)
+                qs += [q] * len(docs)
+                ds += [block.ids[x] for x in docs]
+                scores.append(score)
+            yield pa.record_batch({"q": pa.array(qs, pa.string()), "d": pa.array(ds, pa.string()), "score": pa.array(np.concatenate(scores) if scores else [], pa.float64())})
 
 
 def retrieve(queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """(q, d, score): for each query the documents whose BM25 score may be its best, with a runner-up.
+    """(q, d, score): for each query the documents of its best BM25 scores.
 
-    queries: q, text, name, page; documents: d and the same. All documents that can reach the floor are scored.
+    queries: q, text, name, page; documents: d and the same. All documents that can reach the floor are scored, with all
+    terms however common. Documents are dealt into blocks, each indexed by one task, and the queries pass by every block.
     """
-    postings = materialize(term_rows(documents, "d"))
-    asked = materialize(term_rows(queries, "q"))
-    stats = postings.groupBy("d").agg(F.first("len").alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()
+    bags = materialize(term_bags(documents, "d"))
+    stats = bags.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()
     n, mean = stats["n"] or 0, stats["mean"] or 1.0
     if not n:
         return queries.sparkSession.createDataFrame([], "q string, d string, score double")
-    common = max(COMMON_DOCUMENTS, COMMON_SHARE * n)
-    rarest = float(np.log((common + 0.5) / 1.5))
-    saturation = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
-    weighed = postings.withColumn("saturation", saturation)
-    df = weighed.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.max("saturation").alias("most"))
-    weight = materialize(df.where(F.col("df") <= common).select("t", F.log((F.lit(common) + 0.5) / (F.col("df") + 0.5)).alias("idf"), "most"))
-    # what a term adds at most, summed from the least: terms above the floor are essential
-    common_terms = df.where(F.col("df") > common).select("t")
-    known = asked.join(common_terms, "t", "left_anti").join(weight, "t", "left").select("q", "t", (F.col("idf") * F.col("most")).alias("ub"), F.coalesce(F.col("idf"), F.lit(rarest)).alias("own"))
-    bags = known.groupBy("q").agg(F.sum("own").alias("total"), F.array_sort(F.collect_list(F.when(F.col("ub") > 0, F.struct(F.col("ub"), F.col("t"))))).alias("bag"))
-    floor = F.greatest(FLOOR_SHARE * F.col("total"), F.lit(FLOOR_TERMS * rarest))
-    more = lambda s, x: F.struct((s["rest"] + x["ub"]).alias("rest"), (s["k"] + 1).alias("k"))
-    sums = F.aggregate("bag", F.struct(F.lit(0.0).alias("rest"), F.lit(0).alias("k")), lambda s, x: F.when(s["rest"] + x["ub"] < F.col("floor"), more(s, x)).otherwise(s))
-    cut = bags.withColumn("floor", floor).withColumn("s", sums).select("q", "floor", F.col("s.rest").alias("rest"), F.expr("slice(bag, s.k + 1, size(bag))").alias("bag"))
-    essential = cut.select("q", "rest", "floor", F.explode("bag").alias("x")).select("q", "rest", "floor", F.col("x.t").alias("t"))
-    index = weighed.join(weight.where("idf > 0").drop("most"), "t").select("t", "d", (F.col("idf") * F.col("saturation")).alias("impact"))
-    partial = essential.join(index, "t").groupBy("q", "d").agg(F.sum("impact").alias("part"), F.first("rest").alias("rest"), F.first("floor").alias("floor"))
-    partial = partial.where(F.col("part") + F.col("rest") >= F.col("floor"))
-    # keep whatever can still be first or second
-    order = Window.partitionBy("q").orderBy(F.desc("part"))
-    second = partial.withColumn("rank", F.row_number().over(order)).withColumn("bar", F.min(F.when(F.col("rank") <= 2, F.col("part"))).over(Window.partitionBy("q")))
-    survivors = second.where(F.col("part") + F.col("rest") >= F.col("bar")).select("q", "d")
-    full = survivors.join(known.where("ub > 0").select("q", "t"), "q").join(index, ["d", "t"]).groupBy("q", "d").agg(F.sum("impact").alias("score"))
+    saturation = F.transform("tf", lambda tf: (tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / mean))).cast("float"))
+    weighed = bags.select("d", "t", saturation.alias("saturation"))
+    idf = lambda df: F.log((F.lit(n) + 1.0) / (df + 0.5))
+    rarest = float(np.log((n + 1) / 1.5))
+    postings = weighed.select(F.explode(F.arrays_zip("t", "saturation")).alias("x")).select("x.*")
+    weight = postings.groupBy("t").agg(idf(F.count(F.lit(1))).alias("idf"), F.max("saturation").alias("most"))
+    asked = term_bags(queries, "q").select("q", F.explode("t").alias("t")).join(weight, "t", "left")
+    known = F.array_sort(F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("t", "idf", "most"))))
+    asked = asked.groupBy("q").agg(F.sum(F.coalesce("idf", F.lit(rarest))).alias("total"), F.sum("idf").alias("known"), known.alias("bag"))
+    # a copy reaches the floor even if all its terms are common
+    floor = F.least(F.greatest(FLOOR_SHARE * F.col("total"), F.lit(FLOOR_TERMS * rarest)), FLOOR_KNOWN * F.col("known"))
+    asked = asked.where("known > 0").select("q", F.col("bag.t").alias("t"), F.col("bag.idf").alias("idf"), F.col("bag.most").alias("most"), floor.alias("floor"))
+    blocks = max(LEAST_BLOCKS, -(-n // BLOCK_DOCUMENTS))
+    none = lambda kind: F.lit(None).cast(kind)
+    left = weighed.select(F.pmod(F.xxhash64("d"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("query"), F.col("d").alias("id"), "t", "saturation", none("array<double>").alias("idf"), none("array<float>").alias("most"), none("double").alias("floor"))
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), F.col("q").alias("id"), "t", none("array<float>").alias("saturation"), "idf", "most", "floor")
+    dealt = left.unionByName(right).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "query")
+    full = dealt.mapInArrow(block_scores, "q string, d string, score double")
     top = Window.partitionBy("q").orderBy(F.desc("score"), "d")
     return full.withColumn("rank", F.row_number().over(top)).where("rank <= 2").drop("rank")
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from foliospark.llm import matching
 from foliospark.llm.matching import code_lines, overlap
 
@@ -56,3 +58,32 @@ def test_match(spark):
     got = {r.q: (r.d, r.confidence) for r in matching.match(q, d).collect()}
     assert {k: v[0] for k, v in got.items()} == want and all(0.7 <= c <= 1 for _, c in got.values())
     assert matching.match(q.limit(0), d).count() == 0 and matching.match(q, d.limit(0)).count() == 0
+
+
+def test_copies(spark):
+    """A piece that stands in more documents than any fixed bound keeps its terms."""
+    rng = random.Random(8)
+    hot, pieces = piece(rng), [piece(rng) for _ in range(120)]
+    docs = [(f"h{i:02d}", hot, None, None) for i in range(40)] + [(f"d{i:03d}", t, None, None) for i, t in enumerate(pieces)]
+    queries = [("same", hot, None, None), ("part", "\n".join(hot.split("\n")[1:]), "other name.pdf", 3), ("none", piece(rng), None, None)]
+    q, d = spark.createDataFrame(queries, "q string, text string, name string, page int"), spark.createDataFrame(docs, "d string, text string, name string, page int")
+    assert {r.q: r.d for r in matching.match(q, d).collect()} == {"same": "h00", "part": "h00"}
+    alike = d.where("d < 'h'").limit(0).unionByName(d.where("d >= 'h'"))  # nothing but copies
+    assert {r.q: r.d for r in matching.match(q, alike).collect()} == {"same": "h00", "part": "h00"}
+
+
+def test_block_scores():
+    """Pruned scores are those of looking up everything."""
+    rng = np.random.default_rng(3)
+    bags = [np.unique(np.minimum(rng.zipf(1.3, 30), 400)) for _ in range(300)]
+    sat = [rng.uniform(0.5, 2.2, len(b)).astype("float32") for b in bags]
+    block = matching.Block([str(i) for i in range(300)], np.array([len(b) for b in bags]), np.concatenate(bags), np.concatenate(sat))
+    for _ in range(40):
+        t = np.unique(np.minimum(rng.zipf(1.3, 25), 450))
+        idf = np.array([np.log(301 / (sum(x in b for b in bags) + 0.5)) for x in t])
+        most = np.array([max([s[b == x][0] for b, s in zip(bags, sat) if x in b], default=0) for x in t], "float32")
+        floor = float(rng.uniform(0.5, 8))
+        full = np.array([sum(w * s[b == x][0] for x, w in zip(t, idf) if x in b) for b, s in zip(bags, sat)])
+        docs, scores = block.best(block.places(t), idf, most, floor)
+        bar = max(floor, np.sort(full)[-2])
+        assert set(docs) == set(np.flatnonzero(full >= bar - 1e-9)) and np.allclose(scores, full[docs])
