@@ -1,7 +1,7 @@
 """Texts cut off by field limits or broken transfers.
 
-Lengths are recomputed under several encodings (characters, UTF-8 bytes, UTF-16 units, entity escaping, JSON escaping,
-CR LF line ends) and grouped by source: a length that far more distinct texts have than its neighbourhood is a
+Lengths are recomputed under several encodings (characters, UTF-8 bytes, UTF-16 units, entity escaping, JSON escaping
+with letters kept or as ASCII, CR LF line ends) and grouped by source: a length that far more distinct texts have than its neighbourhood is a
 hidden storage limit. Then the endings are inspected: an ending is complete, cut, or open to doubt (a heading-like
 line, a list item, dots of its own or of a cut). Doubt is settled by the limits, by the corpus's own words (a last
 word that is rare but begins a frequent one is a part of a word) and by the forms of list items that occur elsewhere.
@@ -33,7 +33,10 @@ COMMON_WORD = 20
 #: Forms of list items that make up at least this share of all are complete forms.
 FORM_SHARE = 0.004
 
-VARIANTS = ["chars", "bytes", "utf16", "entities", "json", "crlf", "entity_bytes", "crlf_bytes"]
+VARIANTS = ["chars", "bytes", "utf16", "entities", "json", "crlf", "entity_bytes", "crlf_bytes", "json_ascii", "json_bytes"]
+#: Characters that JSON escapes with a letter, and control characters that it escapes by their number.
+SHORT_ESCAPES = re.compile(r'["\\\n\t\r\b\f]')
+LONG_ESCAPES = re.compile(r"[\x00-\x07\x0b\x0e-\x1f]")
 WORD = re.compile(r"[^\W\d_]+")
 ITEM = re.compile(r"\s*(?:[-*•]|\d+[.)])\s+(.*)$")
 #: Words after which a phrase goes on.
@@ -49,12 +52,24 @@ CLOSERS = {")": "(", "]": "[", "»": "«", "”": "“"}
 FENCE = re.compile(r"^[ \t]*(?:```|~~~)", re.M)
 
 
+def json_escapes(text: str) -> int:
+    return len(SHORT_ESCAPES.findall(text)) + 5 * len(LONG_ESCAPES.findall(text))
+
+
 def lengths(text: str) -> list[int]:
     n, size = len(text), len(text.encode("utf-8", "surrogatepass"))
-    utf16 = n + sum(1 for c in text if c > "￿") if size > n else n
+    utf16 = n + sum(1 for c in text if c > "\uffff") if size > n else n
     entity = 4 * text.count("&") + 3 * (text.count("<") + text.count(">")) + 5 * text.count('"') + 5 * text.count("'")
     lines = text.count("\n")
-    return [n, size, utf16, n + entity, n + text.count('"') + text.count("\\") + lines + text.count("\t"), n + lines, size + entity, size + lines]
+    return [n, size, utf16, n + entity, n + json_escapes(text), n + lines, size + entity, size + lines]
+
+
+def json_lengths(text: str) -> list[int]:
+    """Lengths as JSON with all but ASCII escaped, and as JSON in bytes."""
+    n, size, escapes = len(text), len(text.encode("utf-8", "surrogatepass")), json_escapes(text)
+    units = len(text.encode("utf-16-le", "surrogatepass")) // 2 if size > n else n
+    plain = len(text.encode("ascii", "ignore")) if size > n else n
+    return [plain + 6 * (units - plain) + escapes, size + escapes]
 
 
 def item_form(item: str) -> str:
@@ -139,7 +154,7 @@ def inspected(documents: DataFrame) -> DataFrame:
             for doc, source, text in zip(batch.column("doc_id").to_pylist(), batch.column("source").to_pylist(), batch.column("text").to_pylist()):
                 if text and not text.isspace():
                     kind, word, form = ending(text)
-                    rows.append((doc, source, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), lengths(text), kind, word, form))
+                    rows.append((doc, source, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), lengths(text) + json_lengths(text), kind, word, form))
             cols = list(zip(*rows)) if rows else [()] * 7
             yield pa.record_batch({
                 "doc_id": pa.array(cols[0], pa.int64()), "source": pa.array(cols[1], pa.string()), "h": pa.array(cols[2], pa.int64()), "lengths": pa.array(cols[3], pa.list_(pa.int32())),

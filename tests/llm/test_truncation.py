@@ -1,6 +1,8 @@
+import json
+
 import pytest
 
-from foliospark.llm.truncation import Truncation, ending, lengths
+from foliospark.llm.truncation import Truncation, ending, json_lengths, lengths
 
 FULL = ["All is well.", "Done!", "He said \"so.\"", "(All of it.)", "| a | b |\n|---|---|\n| c | d |", "x\n```\ncode\n```", "A line. And more.\n\n", "Symbols ½ →"]
 CUT = ["The pump was drai", "One. Two thr", "| a | b |\n|---|---|\n| c | d", "| a | b |\n|---|---|\n| c |", "x\n```\ncode", "text\n``", "ends with a mark�", "The pump,", "- ", "Die Pumpe ZV-1: öffnet das", "Le débit (730 rpm)"]
@@ -31,3 +33,21 @@ def test_found(spark):
     assert {r.source: (r.texts, r.cut) for r in op.sources().collect()} == {"a": (63, 2), "b": (13, 12), None: (1, 0)}
     empty = Truncation(spark.createDataFrame([], "doc_id bigint, text string, source string"))
     assert empty.found().count() == 0 and empty.limits().count() == 0
+
+
+def test_json_lengths():
+    for t in ('é<&>"\n😀', "a\r\t\b\f\x01\x1f\\ü", "", "plain"):
+        kept = json.dumps(t, ensure_ascii=False)[1:-1]
+        assert json_lengths(t) == [len(json.dumps(t)) - 2, len(kept.encode())] and lengths(t)[4] == len(kept)
+
+
+def test_escaped_limit(spark):
+    """A limit on texts as escaped JSON shows in no other length, as the texts hold different numbers of foreign letters."""
+    def cut(i):
+        text = f"# Öl {i:02d} " + "ä" * (i % 12) + "x" * 120
+        return next(text[:k] for k in range(len(text), 0, -1) if len(json.dumps(text[:k])) - 2 <= 120)
+
+    rows = [(i, cut(i)[:-3].rstrip() + "...", "b") for i in range(24)]
+    op = Truncation(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    assert {(r.variant, r.length) for r in op.limits().collect()} == {("json_ascii", 120)}
+    assert {r.doc_id for r in op.found().collect()} == set(range(24))
