@@ -79,7 +79,7 @@ def protocol_text(line: Column) -> Column:
     """The text that a protocol line gives: without its `Text: ` prefix; null for structural and empty lines."""
     line = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
     structural = line.startswith("---") | line.startswith("===") | line.startswith("Type:") | line.startswith("Page Size:")
-    return F.when(line.startswith("Text: "), F.substring(line, 7, 1_000_000)).when(~structural & (line != ""), line)
+    return F.when(line.startswith("Text: "), F.regexp_replace(line, "^Text: ", "")).when(~structural & (line != ""), line)
 
 
 def assembled(elements: DataFrame) -> DataFrame:

@@ -96,3 +96,8 @@ def test_refine(spark):
     out = refine(els, accurate=accurate, hierarchy=levels).first()
     assert out.text == "## Title\n\nHead\n\n- one\n\n| x |\n| --- |\n\n<!-- page_break_1 -->\n\nBody text is here" and "---" in out.original
     assert refine(els, options=RefineOptions(page=2, start_from=10)).first().text.startswith("Head\n\nBodi")
+
+
+def test_long_protocol_text(spark):
+    got = spark.range(1).select(lines.protocol_text(F.concat(F.lit("Text: "), F.expr("repeat('ab', 600000)"), F.lit(" Text: c"))).alias("t")).first().t
+    assert got == "ab" * 600_000 + " Text: c"
