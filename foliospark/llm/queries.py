@@ -65,7 +65,9 @@ def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scanned.repaired(p5_records(spark, sf_dir), "elements").select("rec_id", "page_number", "elem_no")
+    """Elements in whose reading a hyphen was dropped or a confusion undone, and running headers and page numbers."""
+    cases = scanned.repaired(p5_records(spark, sf_dir), "elements").where("kind <> 'text' or breaks > 0 or confusions > 0")
+    return cases.select("rec_id", "page_number", "elem_no")
 
 
 def p5_elements(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A noisy channel turns words into what stands in the text: characters are confused, words are broken across lines by
 hyphens, split or run together, and the page's running header and number stand as elements of their own. The decoder
-reads the text without its line ends as one stream: at each place it may take a word of the lexicon as it stands, undo
-confusions, drop a hyphen with its line end, close a gap or open one; the cheapest reading wins (Viterbi). The lexicon
+reads the text without its line ends as one stream: a lattice of the lexicon's words as they stand, with confusions
+undone, with a hyphen and its line end dropped or kept, with gaps closed within them or opened between them; the cheapest
+path wins (Viterbi), and what it undid tells which elements are cases. The lexicon
 is the corpus's own: words of at least LEXICON_SHARE of all words, so it can't hold more than 1 / LEXICON_SHARE words
 and may travel to all workers. Paragraph boundaries are chosen by dynamic programming over the lines of a page.
 """
@@ -14,6 +15,7 @@ import math
 import re
 from collections import Counter, deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,32 +34,68 @@ CONFUSIONS = [
     ("6", "b"), ("vv", "w"), ("U", "ll"), ("m", "rn"), ("d", "cl"), ("8", "B"), ("2", "z"),
 ]
 SYMBOLS = "0123456789@!"
-#: Costs of the decoder, in nats: a confusion, a gap opened or closed, a word out of the lexicon, and each of its characters.
-CONFUSED, SPLIT, UNKNOWN, UNKNOWN_CHARACTER = 3.0, 6.0, 14.0, 1.0
-MAX_CONFUSIONS = 2
+#: What may be meant by what begins with a character.
+MEANT = {c: [(a, b.lower()) for a, b in CONFUSIONS if a[0] == c] for c in {a[0] for a, _ in CONFUSIONS}}
+#: Costs of the decoder, in nats: a confusion (in a capitalised word every one after the first), a hyphen dropped at a line's
+#: end, one kept there, a gap opened or closed; a piece that is no word, and each of its characters, for names and others.
+CONFUSED, CONFUSED_NAME, HYPHEN, KEPT, SPLIT = 3.0, 6.0, 1.0, 8.0, 6.0
+NAME, NAME_CHARACTER, UNKNOWN, UNKNOWN_CHARACTER = 10.0, 0.75, 14.0, 2.0
+#: A piece that is no word is joined to the next line's until it has more characters than this. Readings of longer stretches aren't remembered.
+LONGEST_WORD = 100
+REMEMBERED = 200
 #: A frequent word is itself a misreading if undoing one confusion gives a word so many times as frequent.
 MISREAD_TIMES = 50
 #: Labels of running text; what has another label is a paragraph of its own.
 RUNNING = frozenset(("para", None))
 SKIPPED_LABELS = frozenset(("code", "tab", "fig"))
 
-BREAK = re.compile(r"([^\W\d_])[-‐‑­][ \t]*\r?\n[ \t]*(?=[^\W\d_])")
+HYPHENS = "-‐‑\u00ad"
+LINE_HYPHEN = re.compile(r"[-‐‑\u00ad][ \t]*\r?\n[ \t]*(?=\w)")
+SPACE = re.compile(r"\s+")
 CHUNK = re.compile(r"\S+")
 EDGES = ".,;:!?()[]{}\"'“”«»…*•|<>/\\=~"
+#: What words are made of in a chunk: no punctuation around them, no dash or slash between them.
+ATOM = re.compile(r"[^\s.,;:!?()\[\]{}\"'“”«»…*•|<>/\\=~\-–—‐‑\u00ad]+(?:![^\W\d_]+)*")
+SIGN_IN_WORD = re.compile(r"[a-zà-ÿ][0-9@!]|[0-9@!][a-zà-ÿ]{2}")
+SIGN_IN_CODE = re.compile(r"[A-Z].*[A-Z]|\d{2}|\d[A-Z]|@\.")
 LETTERS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 NUMBER = re.compile(r"(?:page|pg\.?|p\.|sheet|seite|hoja|blatt|s\.)?\s*[-~\[(]?\s*(\d+|[ivxlc]+)\s*[-~\])]?\s*(?:(?:of|/|von|de|sur)\s*\d+)?", re.I)
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 
 
+class Reading(NamedTuple):
+    """A text as it is read, and how many hyphens were dropped, confusions undone, gaps opened or closed for it."""
+
+    text: str
+    breaks: int
+    undone: int
+    gaps: int
+
+
 class Decoder:
-    """Readings of words, given a lexicon of words with their costs."""
+    """Joint segmentation of de-lined text, given a lexicon of words with their costs.
+
+    The text is one stream of characters, its line ends being spaces. From every place the lexicon, held as a trie, is
+    followed along the stream: a character may stand for itself or, by a confusion, for others; a hyphen with its line
+    end, or a gap, may lie within a word; a word may end inside a chunk, where a gap is then opened. What is no word may
+    be taken as it stands, at a cost that goes by its shape. The cheapest path over all places is the reading.
+
+    A chunk that is a word as it stands costs nothing, so no path crosses between two such chunks: only stretches of
+    text around other chunks and hyphens are decoded, each with those neighbours that a word may reach into.
+    """
 
     def __init__(self, counts: dict[str, int]):
         counts = {w: n for w, n in counts.items() if not any(counts.get(v, 0) >= MISREAD_TIMES * n for v in self.undone_once(w))}
         total = max(sum(counts.values()), 1)
         self.cost = {w: math.log(total / n) for w, n in counts.items()}
-        self.longest = max(map(len, self.cost), default=0)
-        self.seen: dict[tuple[str, int], tuple[float, str, int] | None] = {}
+        self.trie: dict = {}
+        for word, cost in self.cost.items():
+            node = self.trie
+            for c in word:
+                node = node.setdefault(c, {})
+            node[""] = cost
+        self.read: dict[str, Reading] = {}
+        self.open_ends: dict[str, list[dict]] = {}
 
     @staticmethod
     def undone_once(word: str) -> set[str]:
@@ -69,117 +107,203 @@ class Decoder:
                 at = word.find(a, at + 1)
         return out
 
-    def undo(self, word: str, depth: int) -> tuple[float, str, int] | None:
-        """The cheapest word of the lexicon that may stand as this one: (cost, word, number of confusions undone)."""
-        key = (word, depth)
-        if key in self.seen:
-            return self.seen[key]
-        best, layer = None, {word}
-        low = word.lower()
-        if low in self.cost:
-            best = (self.cost[low], low, 0)
-        for n in range(1, depth + 1):
-            new = set()
-            for w in layer:
-                new |= self.undone_once(w)
-            for w in new:
-                low = w.lower()
-                if low in self.cost and (best is None or self.cost[low] + n * CONFUSED < best[0]):
-                    best = (self.cost[low] + n * CONFUSED, low, n)
-            if best or len(new) > 4000:
-                break
-            layer = new
-        if len(self.seen) > 400_000:
-            self.seen.clear()
-        self.seen[key] = best
-        return best
-
-    def word(self, word: str) -> tuple[str, int]:
-        """(reading of one word, number of confusions undone). Words of the lexicon, codes and names stay."""
-        if word.lower() in self.cost or "_" in word:
-            return word, 0
-        signs = sum(c in SYMBOLS for c in word)
-        lower = sum(c.islower() for c in word)
-        if not lower or (signs and lower + 1 < signs):
-            return word, 0
-        if signs:
-            # a digit or sign in the middle or at the end of lower-case letters
-            if not re.search(r"[a-zà-ÿ][0-9@!]|[0-9@!][a-zà-ÿ]{2}", word) or re.search(r"[A-Z].*[A-Z]|\d{2}|\d[A-Z]", word):
-                return word, 0
-            got = self.undo(word, min(signs + 1, 3))
-            if got and got[2]:
-                return self.case(word, got[1]), got[2]
-            plain = word
-            for a, b in CONFUSIONS:
-                if a in SYMBOLS:
-                    plain = plain.replace(a, b)
-            if word[0].isupper() and re.fullmatch(r"[^\W\d_]{4,}", plain) and "@." not in word:
-                return plain, signs  # a name
-            return word, 0
-        got = self.undo(word, MAX_CONFUSIONS if word[0].islower() else 1)
-        if got and got[2]:
-            return self.case(word, got[1]), got[2]
-        if word.isupper() or not word.isalpha():
-            return word, 0
-        return (self.segment(word), 0) if word.islower() and len(word) > 7 else (word, 0)
+    @staticmethod
+    def steps(node: dict, text: str, at: int) -> Iterator[tuple[dict, int, int, str]]:
+        """(trie node, place behind, confusions, characters meant) of what the text may say next."""
+        c = text[at]
+        child = node.get(c.lower())
+        if child is not None:
+            yield child, at + 1, 0, c.lower()
+        for seen, meant in MEANT.get(c, ()):
+            if text.startswith(seen, at):
+                child = node
+                for m in meant:
+                    child = child.get(m)
+                    if child is None:
+                        break
+                else:
+                    yield child, at + len(seen), 1, meant
+
+    def arcs(self, text: str, start: int) -> list[tuple[int, float, Reading]]:
+        """(end, cost, reading) of the words that may stand from a place on: the cheapest reading for each end."""
+        best: dict[int, tuple[float, Reading]] = {}
+        named = text[start].isupper()
+        todo = [(start, self.trie, 0.0, "", 0, 0, 0)]
+        while todo:
+            at, node, cost, said, breaks, undone, gaps = todo.pop()
+            if "" in node and (at not in best or cost + node[""] < best[at][0]):
+                best[at] = (cost + node[""], Reading(said, breaks, undone, gaps))
+            if at == len(text):
+                continue
+            for child, behind, n, meant in self.steps(node, text, at):
+                todo.append((behind, child, cost + n * (CONFUSED_NAME if named and undone else CONFUSED), said + meant, breaks, undone + n, gaps))
+            end = LINE_HYPHEN.match(text, at + 1)
+            if end:  # two characters that a hyphen parts and that stand for one
+                for child, used, n, meant in self.steps(node, text[at] + text[end.end()], 0):
+                    if used == 2:
+                        todo.append((end.end() + 1, child, cost + HYPHEN + (CONFUSED_NAME if named and undone else CONFUSED), said + meant, breaks + 1, undone + 1, gaps))
+            if at > start and node is not self.trie:
+                end = LINE_HYPHEN.match(text, at)
+                if end:
+                    todo.append((end.end(), node, cost + HYPHEN, said, breaks + 1, undone, gaps))
+                    if "-" in node:
+                        todo.append((end.end(), node["-"], cost + HYPHEN, said + "-", breaks + 1, undone, gaps))
+                elif text[at].isspace() and not text[at - 1].isspace():
+                    todo.append((at + len(SPACE.match(text, at).group()), node, cost + SPLIT, said, breaks, undone, gaps + 1))
+        return [(end, cost, reading) for end, (cost, reading) in best.items()]
+
+    @staticmethod
+    def fixed(atom: str) -> bool:
+        """Codes, numbers, capitals and the shortest pieces: they stand as they are."""
+        signs = sum(c in SYMBOLS for c in atom)
+        lower = sum(c.islower() for c in atom)
+        if len(atom) <= 2 or not lower or "_" in atom or lower + 1 < signs or (not signs and not atom.isalpha()):
+            return True
+        return bool(signs and (not SIGN_IN_WORD.search(atom) or SIGN_IN_CODE.search(atom)))
+
+    def standing(self, atom: str, joined: bool) -> list[tuple[float, Reading]]:
+        """Readings of a chunk's piece as it stands, and of a name with its signs undone. joined: it is part of a word broken at a line's end."""
+        if atom.lower() in self.cost:
+            return [(self.cost[atom.lower()] if joined else 0.0, Reading(atom, 0, 0, 0))]
+        if self.fixed(atom):
+            part = joined and atom.isalpha() and any(map(str.islower, atom))
+            return [(UNKNOWN + UNKNOWN_CHARACTER * len(atom) if part else 0.0, Reading(atom, 0, 0, 0))]
+        signs = sum(c in SYMBOLS for c in atom)
+        named = NAME + NAME_CHARACTER * len(atom)
+        if not signs:
+            return [(named if atom[0].isupper() else UNKNOWN + UNKNOWN_CHARACTER * len(atom), Reading(atom, 0, 0, 0))]
+        out = [(UNKNOWN + UNKNOWN_CHARACTER * len(atom), Reading(atom, 0, 0, 0))]
+        plain = atom
+        for a, b in CONFUSIONS:
+            if a in SYMBOLS:
+                plain = plain.replace(a, b)
+        if atom[0].isupper() and len(plain) >= 4 and plain.isalpha():
+            out.append((named + CONFUSED * signs, Reading(plain, 0, signs, 0)))
+        return out
 
     @staticmethod
-    def case(word: str, reading: str) -> str:
-        return reading.upper() if word.isupper() and len(word) > 1 else reading[:1].upper() + reading[1:] if word[:1].isupper() else reading
-
-    def segment(self, text: str) -> str:
-        """The cheapest reading of run-together characters as words, confusions undone: Viterbi over the places of the text."""
-        n = len(text)
-        best = [(0.0, 0)] + [(math.inf, 0)] * n
-        reading = [""] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest - 2), j):
-                piece = text[i:j]
-                got = self.cost.get(piece)
-                cost = got if got is not None and len(piece) > 2 else UNKNOWN + UNKNOWN_CHARACTER * len(piece)
-                if best[i][0] + cost + (SPLIT if i else 0) < best[j][0]:
-                    best[j], reading[j] = (best[i][0] + cost + (SPLIT if i else 0), i), piece
-        parts, j = deque(), n
-        while j:
-            parts.appendleft(reading[j])
-            j = best[j][1]
-        return " ".join(parts) if all(p in self.cost for p in parts) else text
-
-    def repair(self, text: str) -> tuple[str, int, int]:
-        """(text with its words repaired, hyphens dropped, confusions undone). Line ends stay but for those within words."""
-        breaks = 0
+    def case(word: str, seen: str) -> str:
+        return word.upper() if seen.isupper() and len(seen) > 1 else word[:1].upper() + word[1:] if seen[:1].isupper() else word
+
+    def decode(self, text: str) -> Reading:
+        """The cheapest reading of a stretch of text: Viterbi over its places."""
+        got = self.read.get(text)
+        if got is not None:
+            return got
+        spans = {m.start(): m.end() for m in ATOM.finditer(text)}
+        inner = {at for a, b in spans.items() for at in range(a, b)}
+        behind_hyphen = {m.end() for m in LINE_HYPHEN.finditer(text) if m.start() and text[m.start() - 1].isalnum()}
+        best: list[tuple[float, int, Reading] | None] = [None] * (len(text) + 1)
+        best[0] = (0.0, 0, Reading("", 0, 0, 0))
+
+        def offer(at: int, end: int, cost: float, reading: Reading) -> None:
+            if best[end] is None or best[at][0] + cost < best[end][0] - 1e-9:
+                best[end] = (best[at][0] + cost, at, reading)
+
+        for at in range(len(text)):
+            if best[at] is None:
+                continue
+            if at not in inner:
+                offer(at, at + 1, 0.0, Reading(text[at], 0, 0, 0))
+                continue
+            whole = spans.get(at)
+            if whole is not None:
+                hyphen = LINE_HYPHEN.match(text, whole)
+                before = at in behind_hyphen
+                for cost, reading in self.standing(text[at:whole], bool(hyphen) or before):
+                    offer(at, whole, cost + (KEPT if before else 0.0), reading)
+                word, breaks = text[at:whole], 0
+                while hyphen and hyphen.end() in spans and text[whole - 1].isalpha() and text[hyphen.end()].isalpha() and len(word) <= LONGEST_WORD:
+                    whole = spans[hyphen.end()]
+                    word, breaks = word + text[hyphen.end() : whole], breaks + 1
+                    for cost, (said, _, undone, _) in self.standing(word, True):
+                        offer(at, whole, cost + HYPHEN * breaks, Reading(said, breaks, undone, 0))
+                    hyphen = LINE_HYPHEN.match(text, whole)
+                if self.fixed(text[at : spans[at]]) and not LINE_HYPHEN.match(text, spans[at]) and spans[at] - at > 2:
+                    continue
+            opened = 0.0 if whole is not None else SPLIT
+            for end, cost, reading in self.arcs(text, at):
+                inside = end in inner and end not in spans
+                if (inside or opened) and len(reading.text) <= 2:
+                    continue
+                said = self.case(reading.text, text[at:end])
+                offer(at, end, cost + opened, Reading((" " if opened else "") + said, reading.breaks, reading.undone, reading.gaps + bool(opened)))
+        parts, end = deque(), len(text)
+        while end:
+            _, at, reading = best[end]
+            parts.appendleft(reading)
+            end = at
+        got = Reading("".join(p.text for p in parts), sum(p.breaks for p in parts), sum(p.undone for p in parts), sum(p.gaps for p in parts))
+        if len(text) <= REMEMBERED:
+            if len(self.read) > 400_000:
+                self.read.clear()
+            self.read[text] = got
+        return got
+
+    def reaches(self, left: str, right: str) -> bool:
+        """Whether a word may begin in one chunk and end in the next, over the gap between them."""
+        if not left[-1].isalnum() or not right[0].isalnum():
+            return False
+        nodes = self.open_ends.get(left)
+        if nodes is None:
+            nodes, starts, seen = [], [m.start() for m in ATOM.finditer(left)][-1:], set()
+            while starts:
+                start = starts.pop()
+                todo = [(start, self.trie)]
+                seen.add(start)
+                while todo:
+                    at, node = todo.pop()
+                    if at == len(left):
+                        nodes.append(node)
+                        continue
+                    if "" in node and at - start > 2 and at not in seen:
+                        starts.append(at)
+                    todo += [(behind, child) for child, behind, _, _ in self.steps(node, left, at)]
+            if len(left) <= REMEMBERED:
+                if len(self.open_ends) > 400_000:
+                    self.open_ends.clear()
+                self.open_ends[left] = nodes
+        todo = [(0, node) for node in nodes]
+        while todo:
+            at, node = todo.pop()
+            if at and "" in node:
+                return True
+            if at < len(right):
+                todo += [(behind, child) for child, behind, _, _ in self.steps(node, right, at)]
+        return False
+
+    def repair(self, text: str) -> Reading:
+        """The whole text with its words repaired. Line ends stay but for those within words."""
+        chunks = [(m.start(), m.end()) for m in CHUNK.finditer(text)]
+        known = []
+        for a, b in chunks:
+            core = text[a:b].strip(EDGES)
+            known.append(not core or core.lower() in self.cost or core.isdigit() or (not any(map(str.islower, core)) and core[-1] not in HYPHENS))
+        tied = [False] * len(chunks)  # to the chunk before, by a hyphen at a line's end
         if "\n" in text:
-            text, breaks = BREAK.subn(r"\1", text)
-        undone = 0
-        out, last = [], 0
-        for m in CHUNK.finditer(text):
-            chunk = m.group()
-            core = chunk.strip(EDGES)
-            if not core or core.lower() in self.cost or core.isdigit():
+            for i in range(1, len(chunks)):
+                if text[chunks[i - 1][1] - 1] in HYPHENS and LINE_HYPHEN.match(text, chunks[i - 1][1] - 1) and chunks[i - 1][1] - chunks[i - 1][0] > 1 and text[chunks[i - 1][1] - 2].isalnum():
+                    tied[i] = True
+                    known[i - 1] = known[i] = False
+        for i in range(1, len(chunks)):
+            if known[i - 1] and known[i] or tied[i]:
                 continue
-            start = m.start() + chunk.index(core)
-            done = []
-            for part in re.split(r"([-/–—])", core) if "-" in core or "/" in core else [core]:
-                got, n = self.word(part) if len(part) > 2 else (part, 0)
-                undone += n
-                done.append(got)
-            fixed = "".join(done)
-            if fixed != core:
-                out += [text[last:start], fixed]
-                last = start + len(core)
-        out.append(text[last:])
-        return "".join(out), breaks, undone
-
-    def close_gaps(self, text: str) -> str:
-        """Join neighbours that are no words but make one: 'trans mitter'."""
-        words = text.split(" ")
+            tied[i] = self.reaches(text[slice(*chunks[i - 1])], text[slice(*chunks[i])])
+        out, last, breaks, undone, gaps = [], 0, 0, 0, 0
         i = 0
-        while i + 1 < len(words):
-            a, b = words[i], words[i + 1]
-            if a.isalpha() and b.isalpha() and a.lower() not in self.cost and b not in self.cost and (a + b).lower() in self.cost:
-                words[i : i + 2] = [a + b]
-            i += 1
-        return " ".join(words)
+        while i < len(chunks):
+            j = i + 1
+            while j < len(chunks) and tied[j]:
+                j += 1
+            if j > i + 1 or not known[i]:
+                a, b = chunks[i][0], chunks[j - 1][1]
+                got = self.decode(text[a:b])
+                breaks, undone, gaps = breaks + got.breaks, undone + got.undone, gaps + got.gaps
+                if got.text != text[a:b]:
+                    out += [text[last:a], got.text]
+                    last = b
+            i = j
+        return Reading("".join(out) + text[last:], breaks, undone, gaps)
 
 
 def skeleton(text: str) -> str:
@@ -198,7 +322,7 @@ def roman(text: str) -> int | None:
 def page_number_in(text: str) -> int | None:
     """The number that a text of nothing but a page number gives."""
     text = text.strip()
-    if not text or len(text) > 24:
+    if not text or len(text) > 64:
         return None
     plain = re.sub(r"(?<=[A-Za-z])[9@](?=[A-Za-z])", lambda m: {"9": "g", "@": "a"}[m.group()], text)
     m = NUMBER.fullmatch(plain)
@@ -224,7 +348,7 @@ def kinds_of(record: list[tuple[int, str | None, str]], name: str | None) -> lis
     A header repeats the record's title, which stands once as the title: where no element has the label `title`, the
     first that does so on the first page is taken for it.
     """
-    titles = {header_form(t) for _, label, t in record if label == "title" and len(t) < 300}
+    titles = {header_form(t) for _, label, t in record if label == "title"}
     labelled = bool(titles)
     titles = {t for t in titles | {stem_title(name)} if len(t) >= 6}
     kinds, first = [], True
@@ -233,7 +357,7 @@ def kinds_of(record: list[tuple[int, str | None, str]], name: str | None) -> lis
         if label not in SKIPPED_LABELS:
             if page is not None and page_number_in(text) == page:
                 kind = "number"
-            elif label != "title" and len(text) < 200 and "\n" not in text.strip() and titles and header_form(text) in titles:
+            elif label != "title" and titles and "\n" not in text.strip() and header_form(text) in titles:
                 kind = "header" if labelled or not first else ""
                 first = False
         kinds.append(kind)
@@ -297,12 +421,12 @@ def paragraphs(lines: list[str], starts: list[int]) -> list[str]:
     return [p for p in reversed(out) if p]
 
 
-FOUND = "rec_id bigint, page_number int, elem_no int, kind string, breaks int, confusions int, text string"
+FOUND = "rec_id bigint, page_number int, elem_no int, kind string, breaks int, confusions int, gaps int, text string"
 PARAGRAPHS = "rec_id bigint, page_number int, para_no int, text string"
 
 
 def repaired(records: DataFrame, part: str) -> DataFrame:
-    """`elements`: each repaired element with what was repaired; `paragraphs`: each page's continuous paragraphs.
+    """`elements`: each repaired element with what was repaired (breaks: hyphens dropped; confusions undone; gaps opened or closed); `paragraphs`: each page's continuous paragraphs.
 
     records: rec_id, source_file, pages (label, text, reading_order of elements). Null pages, elements and texts give
     nothing; rows delivered twice (equal rec_id) count once; code, tables and figures are left alone and out of the paragraphs.
@@ -328,9 +452,9 @@ def repaired(records: DataFrame, part: str) -> DataFrame:
                 for i, kind in zip(own, kinds):
                     if not text[i] or label[i] in SKIPPED_LABELS:
                         continue
-                    fixed, breaks, undone = decoder.repair(text[i])
-                    if kind or breaks or undone:
-                        rows.append((ids[owner[a]], number[i], int(ordinal[i]), kind or "text", breaks, undone, None if kind else fixed))
+                    fixed, breaks, undone, gaps = decoder.repair(text[i])
+                    if kind or breaks or undone or gaps:
+                        rows.append((ids[owner[a]], number[i], int(ordinal[i]), kind or "text", breaks, undone, gaps, None if kind else fixed))
                     if part == "paragraphs" and not kind:
                         flow.setdefault(number[i], []).append((order[i] if order[i] is not None else int(ordinal[i]) - 1, i, fixed, label[i] in RUNNING))
                 for page_no, items in flow.items():
@@ -340,8 +464,8 @@ def repaired(records: DataFrame, part: str) -> DataFrame:
                         lines += own_lines
                         starts += [1 if running and before else 2] + [0] * (len(own_lines) - 1)
                         before = running
-                    pages += [(ids[owner[a]], page_no, k + 1, decoder.close_gaps(p)) for k, p in enumerate(paragraphs(lines, starts))]
-            cols, schema = (list(zip(*pages)) or [()] * 4, PARAGRAPHS) if part == "paragraphs" else (list(zip(*rows)) or [()] * 7, FOUND)
+                    pages += [(ids[owner[a]], page_no, k + 1, p) for k, p in enumerate(paragraphs(lines, starts))]
+            cols, schema = (list(zip(*pages)) or [()] * 4, PARAGRAPHS) if part == "paragraphs" else (list(zip(*rows)) or [()] * 8, FOUND)
             kinds_by = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
             yield pa.record_batch({c.split()[0]: pa.array(v, kinds_by[c.split()[1]]) for c, v in zip(schema.split(", "), cols)})
 
