@@ -34,7 +34,8 @@ def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p2_shares(spark, sf_dir).where(F.col("repeated_share") >= repetition.MIN_SHARE).select("table_name", "row_key")
+    """Texts that the field doesn't retain, where the exact share confirms it."""
+    return p2_shares(spark, sf_dir).where(~F.col("retained") & (F.col("repeated_share") >= repetition.MIN_SHARE)).select("table_name", "row_key")
 
 
 def p3_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from foliospark.llm import repetition
-from foliospark.llm.repetition import Segments, fit, measure, record_texts, viterbi
+from foliospark.llm.repetition import Segments, fit, measure, planted, record_texts, viterbi
 from foliospark.sources.tables import recognition_schema
 
 
@@ -49,19 +49,37 @@ def corpus(seed, n):
     return out
 
 
-def test_candidates_keep_every_case():
+def test_field_leaves_every_case_to_the_exact_share():
     texts = corpus(3, 120)
-    labelled, exact = measure(texts)
+    content, exact = measure(texts)
     truth = np.array([brute(t) for t in texts])
-    assert ((exact >= 0.3) == (truth >= 0.3)).all() and (truth >= 0.3).sum() > 10
+    assert np.allclose(exact, truth)
+    cases = truth >= 0.3
+    assert cases.sum() > 10 and (content[cases] < repetition.RETAINED_SHARE).all() and (content[truth < 0.02] >= repetition.RETAINED_SHARE).mean() > 0.95
+
+
+def test_small_shares_are_kept():
+    words = [f"w{i}" for i in range(100)]
+    text = " ".join(words + words[:7])
+    content, exact = measure([text, " ".join(words), "", " \n"])
+    assert exact[0] == 7 / 107 and list(exact[1:]) == [0, 0, 0] and list(content[2:]) == [1, 1]
+
+
+def test_spam_in_one_line():
+    content, exact = measure(["do not repaint " * 60, "Every conduit must be " * 40 + "closed."])
+    assert (exact > 0.9).all() and (content < 0.5).all()
 
 
 def test_fit_on_held_out():
-    w, t = fit(corpus(5, 60), steps=150)
-    texts = corpus(6, 60)
-    labelled, _ = measure(texts, w, t)
-    truth = np.array([brute(x) for x in texts])
-    assert ((labelled >= 0.3) == (truth >= 0.3)).mean() > 0.95
+    """Fitted on planted places, the field finds those of other texts."""
+    w, t = fit(*planted(corpus(5, 60), 1), steps=150)
+    texts, spans = planted(corpus(6, 60), 2)
+    s = Segments(texts)
+    x, _ = s.observations()
+    gold = repetition.labels(s, texts, spans)
+    table, doc, at = s.grid(x @ w)
+    found = viterbi(table, np.bincount(s.segment_doc, minlength=len(texts)), t)[doc, at]
+    assert gold.sum() > 100 and (found * gold).sum() / found.sum() > 0.95 and (found * gold).sum() / gold.sum() > 0.95
 
 
 def test_spark(spark):
@@ -70,4 +88,5 @@ def test_spark(spark):
     rows = [(1, [(2, [(again,), None, (None,)]), (1, [(again,)]), (3, None)]), (2, None), (3, []), (4, [(1, [("",)])]), (None, [(1, [(again + " " + again,)])])]
     out = repetition.repetition(record_texts(spark.createDataFrame(rows, schema)), ["rec_id"]).collect()
     assert {r.rec_id: r.repeated_share for r in out} == {1: 0.5, 2: 0.0, 3: 0.0, 4: 0.0, None: 0.5}
+    assert {r.rec_id: r.retained for r in out} == {1: False, 2: True, 3: True, 4: True, None: False}
     assert repetition.repetition(spark.createDataFrame([], "rec_id bigint, text string"), ["rec_id"]).count() == 0
