@@ -138,16 +138,21 @@ def scan(sequence: list[tuple[int, int, int]], scores: tuple[float, float, float
 
 SCORES = (WORD_SCORE, TOKEN_SCORE, LINK_SCORE, LIGHT_SCORE)
 #: Elements whose text nobody reads.
+SENTENCE = re.compile(r"(?<=\w)[.!?:][\"')\]]*(?:[ \t]*</?[A-Za-z][^<>\n]*>)*[ \t]*(?:\n|\Z)")
 LINKED = re.compile(r"<a\b[^<>]*>(.*?)</a\s*>", re.S | re.I)
 UNREAD = re.compile(r"<(script|style|nav|head|form|select)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 
 
+def line_end(text: str, at: int) -> int:
+    end = text.find("\n", at)
+    return len(text) if end < 0 else end
+
+
 def region(text: str, marks: list[Token], scores: tuple[float, float, float, float] = SCORES) -> tuple[int, int, int]:
     """(start, end, markup tokens): the region of highest score in whole lines, widened over all lines that are prose."""
     sequence = events(text, marks)
     start, end, negatives = scan(sequence, scores)
-    start, end = (text.rfind("\n", 0, start) + 1, text.find("\n", end)) if end else (len(text), len(text))
-    end = len(text) if end < 0 else end
+    start, end = (text.rfind("\n", 0, start) + 1, line_end(text, end)) if end else (len(text), len(text))
     if start or end < len(text):
         short = [m.span() for m in LINKED.finditer(text) if len(WORD.findall(m.group(1))) < PROSE_WORDS]
         unread = [m.span() for m in UNREAD.finditer(text)] + short
@@ -161,10 +166,9 @@ def region(text: str, marks: list[Token], scores: tuple[float, float, float, flo
         for a in words:
             at = text.rfind("\n", 0, a) + 1
             lines[at] = lines.get(at, 0) + 1
-        prose = [at for at, n in lines.items() if n >= PROSE_WORDS or text.startswith(("#", "|"), at)]
+        prose = [at for at, n in lines.items() if n >= PROSE_WORDS or text.startswith(("#", "|"), at) or SENTENCE.search(text, at, line_end(text, at))]
         if prose:
-            last = text.find("\n", max(prose))
-            start, end = min(start, min(prose)), max(end, len(text) if last < 0 else last)
+            start, end = min(start, min(prose)), max(end, line_end(text, max(prose)))
     return start, end, negatives
 
 
