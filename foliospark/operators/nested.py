@@ -17,14 +17,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+#: Keys of the flat tables: where a record came from and its id, the page's place in it, the element's number on the page.
 NODE_COLUMNS = (
-    "rec_id bigint, page_pos int, page_number int, node_no int, parent_no int, depth int, label string, text string, "
+    "origin string, rec_id bigint, page_pos int, page_number int, node_no int, parent_no int, depth int, label string, text string, "
     "reading_order int, confidence double, figure_path string, context_text string"
 )
-BOX_COLUMNS = "rec_id bigint, page_number int, node_no int, kind string, x0 double, y0 double, x1 double, y1 double"
-PAGE_COLUMNS = "rec_id bigint, page_pos int, page_number int, n_nodes int"
-FOUND_COLUMNS = "rec_id bigint, page_number int, node_no int, parent_no int"
-RECORD_COLUMNS = "rec_id bigint, origin string, source string, source_file string, n_pages int, complete boolean"
+BOX_COLUMNS = "origin string, rec_id bigint, page_pos int, page_number int, node_no int, kind string, x0 double, y0 double, x1 double, y1 double"
+PAGE_COLUMNS = "origin string, rec_id bigint, page_pos int, page_number int, n_nodes int"
+FOUND_COLUMNS = "origin string, rec_id bigint, page_pos int, page_number int, node_no int, parent_no int"
+RECORD_COLUMNS = "origin string, rec_id bigint, source string, source_file string, n_pages int, complete boolean"
 
 
 def child_index(array: pa.ListArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -245,26 +246,28 @@ def nodes_of_payloads(payloads: list[str | None]) -> tuple[Nodes, dict[str, obje
     return nodes, {"record": record, "page_pos": pos, "page_number": numbers, "n_nodes": np.bincount(page, minlength=len(record))}, complete, files, n_pages
 
 
-def emit(part: str, keys: pa.Array, nodes: Nodes, pages: dict) -> list[pa.RecordBatch]:
+def emit(part: str, origin: str, keys: pa.Array, nodes: Nodes, pages: dict) -> list[pa.RecordBatch]:
+    named = lambda n: {"origin": pa.repeat(pa.scalar(origin, pa.string()), n)}
     i32 = lambda x: pa.array(np.asarray(x), pa.int32())
     if part == "pages":
-        return [pa.record_batch({"rec_id": keys.take(pa.array(pages["record"])), "page_pos": i32(pages["page_pos"]), "page_number": pages["page_number"].cast(pa.int32()), "n_nodes": i32(pages["n_nodes"])})]
+        return [pa.record_batch({**named(len(pages["record"])), "rec_id": keys.take(pa.array(pages["record"])), "page_pos": i32(pages["page_pos"]), "page_number": pages["page_number"].cast(pa.int32()), "n_nodes": i32(pages["n_nodes"])})]
     ids = keys.take(pa.array(nodes.record))
     number_ = nodes.page_number.cast(pa.int32())
     if part == "found":
-        return [pa.record_batch({"rec_id": ids, "page_number": number_, "node_no": i32(nodes.node), "parent_no": i32(nodes.parent)})]
+        return [pa.record_batch({**named(len(ids)), "rec_id": ids, "page_pos": i32(nodes.page_pos), "page_number": number_, "node_no": i32(nodes.node), "parent_no": i32(nodes.parent)})]
     if part == "elements":
         v = nodes.values
-        return [pa.record_batch({"rec_id": ids, "page_pos": i32(nodes.page_pos), "page_number": number_, "node_no": i32(nodes.node), "parent_no": i32(nodes.parent), "depth": i32(nodes.depth), "label": v["label"].cast(pa.string()), "text": v["text"].cast(pa.string()), "reading_order": v["reading_order"].cast(pa.int32()), "confidence": v["confidence"].cast(pa.float64()), "figure_path": v["figure_path"].cast(pa.string()), "context_text": v["context_text"].cast(pa.string())})]
+        return [pa.record_batch({**named(len(ids)), "rec_id": ids, "page_pos": i32(nodes.page_pos), "page_number": number_, "node_no": i32(nodes.node), "parent_no": i32(nodes.parent), "depth": i32(nodes.depth), "label": v["label"].cast(pa.string()), "text": v["text"].cast(pa.string()), "reading_order": v["reading_order"].cast(pa.int32()), "confidence": v["confidence"].cast(pa.float64()), "figure_path": v["figure_path"].cast(pa.string()), "context_text": v["context_text"].cast(pa.string())})]
     out = []
     for kind, rows, four in nodes.boxes:
         at = pa.array(rows)
-        out.append(pa.record_batch({"rec_id": ids.take(at), "page_number": number_.take(at), "node_no": i32(nodes.node[rows]), "kind": pa.array([kind] * len(rows), pa.string()), **{n: pa.array(x, pa.float64(), from_pandas=True) for n, x in zip(("x0", "y0", "x1", "y1"), four)}}))
+        out.append(pa.record_batch({**named(len(rows)), "rec_id": ids.take(at), "page_pos": i32(nodes.page_pos[rows]), "page_number": number_.take(at), "node_no": i32(nodes.node[rows]), "kind": pa.array([kind] * len(rows), pa.string()), **{n: pa.array(x, pa.float64(), from_pandas=True) for n, x in zip(("x0", "y0", "x1", "y1"), four)}}))
     return out
 
 
 SCHEMAS = {"found": FOUND_COLUMNS, "elements": NODE_COLUMNS, "pages": PAGE_COLUMNS, "boxes": BOX_COLUMNS, "records": RECORD_COLUMNS}
-KEYS = {"found": ["rec_id", "page_number", "node_no"], "elements": ["rec_id", "page_pos", "node_no"], "pages": ["rec_id", "page_pos"], "boxes": ["rec_id", "page_number", "node_no", "kind"], "records": ["rec_id"]}
+KEYS = {"records": ["origin", "rec_id"], "pages": ["origin", "rec_id", "page_pos"], "elements": ["origin", "rec_id", "page_pos", "node_no"], "boxes": ["origin", "rec_id", "page_pos", "node_no", "kind"]}
+KEYS["found"] = KEYS["elements"]
 
 
 def flatten_lists(records: DataFrame, part: str) -> DataFrame:
@@ -276,9 +279,9 @@ def flatten_lists(records: DataFrame, part: str) -> DataFrame:
             if part == "records":
                 n = len(batch)
                 size = pc.list_value_length(column(batch, "pages"))
-                yield pa.record_batch({"rec_id": keys, "origin": pa.array(["typed"] * n, pa.string()), "source": column(batch, "source").cast(pa.string()), "source_file": column(batch, "source_file").cast(pa.string()), "n_pages": pc.fill_null(size, 0).cast(pa.int32()), "complete": pa.array([True] * n)})
+                yield pa.record_batch({"origin": pa.array(["typed"] * n, pa.string()), "rec_id": keys, "source": column(batch, "source").cast(pa.string()), "source_file": column(batch, "source_file").cast(pa.string()), "n_pages": pc.fill_null(size, 0).cast(pa.int32()), "complete": pa.array([True] * n)})
                 continue
-            yield from emit(part, keys, *nodes_of_lists(batch))
+            yield from emit(part, "typed", keys, *nodes_of_lists(batch))
 
     return records.mapInArrow(run, SCHEMAS[part])
 
@@ -294,9 +297,9 @@ def flatten_payloads(raw: DataFrame, part: str) -> DataFrame:
                 nodes, pages, complete, files, n_pages = nodes_of_payloads(column(batch, "payload").to_pylist())
                 if part == "records":
                     own = column(batch, "source_file").to_pylist()
-                    yield pa.record_batch({"rec_id": keys, "origin": pa.array(["payload"] * len(batch), pa.string()), "source": pa.nulls(len(batch), pa.string()), "source_file": pa.array([a if a is not None else b for a, b in zip(own, files)], pa.string()), "n_pages": pa.array(n_pages, pa.int32()), "complete": pa.array(complete)})
+                    yield pa.record_batch({"origin": pa.array(["payload"] * len(batch), pa.string()), "rec_id": keys, "source": pa.nulls(len(batch), pa.string()), "source_file": pa.array([a if a is not None else b for a, b in zip(own, files)], pa.string()), "n_pages": pa.array(n_pages, pa.int32()), "complete": pa.array(complete)})
                     continue
-                yield from emit(part, keys, nodes, pages)
+                yield from emit(part, "payload", keys, nodes, pages)
 
     return raw.mapInArrow(run, SCHEMAS[part])
 
@@ -304,11 +307,13 @@ def flatten_payloads(raw: DataFrame, part: str) -> DataFrame:
 def flat_table(records: DataFrame, raw: DataFrame, part: str) -> DataFrame:
     """One flat table of both inputs.
 
-    Rows delivered twice (equal rec_id) count once: the copies are dropped on the narrow keys of the flat rows,
+    Rows delivered twice (equal rec_id in one input) count once, and rows without a rec_id count as one record; equal ids of
+    both inputs are two records, and pages with equal or no numbers are kept apart by their place. The copies are dropped on the narrow keys of the flat rows,
     never on the nested ones. Null pages, null elements and incomplete payloads give no row in pages, elements
     and boxes; such a record keeps its row in `records`. Empty inputs give empty tables; extra columns are ignored.
     """
     head = ["source", "source_file"] if part == "records" else []
     raw_head = ["source_file"] if part == "records" else []
     both = flatten_lists(records.select("rec_id", *head, "pages"), part).unionByName(flatten_payloads(raw.select("rec_id", *raw_head, "payload"), part))
-    return both.dropDuplicates(KEYS[part])
+    flat = both.dropDuplicates(KEYS[part])
+    return flat.select("rec_id", "page_number", "node_no", "parent_no") if part == "found" else flat

@@ -71,3 +71,13 @@ def test_typed_records(spark):
     boxes = nested.flat_table(df, raw, "boxes").collect()
     assert sorted((r.node_no, r.x0, r.y1) for r in boxes if r.y1 is not None) == [(1, 1.0, 4.0)] and len(boxes) == 2
     assert nested.flat_table(df.limit(0), raw, "found").count() == 0
+
+
+def test_equal_numbers_and_ids(spark):
+    """Pages without a number, and equal ids of both inputs, lose nothing."""
+    pages = [{"page_number": None, "elements": [{"text": "a", "bbox": [1, 2, 3, 4]}]}, {"elements": [{"text": "b", "bbox": [5, 6, 7, 8]}]}]
+    raw = spark.createDataFrame([(1, None, json.dumps({"pages": pages})), (1, None, json.dumps({"pages": pages}))], "rec_id bigint, source_file string, payload string")
+    typed = spark.createDataFrame([(1, None, None, None, [(None, [("para", "c", [1.0], None, None, None, None, None, None)])])], recognition_schema())
+    for part, n in (("found", 3), ("elements", 3), ("boxes", 3), ("pages", 3), ("records", 2)):
+        assert nested.flat_table(typed, raw, part).count() == n, part
+    assert nested.flat_table(typed, raw, "found").columns == ["rec_id", "page_number", "node_no", "parent_no"]
