@@ -81,9 +81,14 @@ def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Code matches as queries, code elements as documents."""
-    queries = table(spark, sf_dir, "code_match").select(F.col("match_id").cast("string").alias("q"), F.col("pdf_text").alias("text"), F.col("pdf_name").alias("name"), F.col("page_number").alias("page"))
-    elements = explode_elements(recognition(spark, sf_dir, ["label", "text"], ["rec_id", "source_file"]), ["label", "text"]).where("label = 'code'")
-    documents = elements.select(F.concat_ws("-", "rec_id", "page_number", "elem_no").alias("d"), "text", F.col("source_file").alias("name"), F.col("page_number").alias("page"))
+    queries = table(spark, sf_dir, "code_match").select(
+        F.col("match_id").cast("string").alias("q"), F.col("pdf_text").alias("text"), F.col("pdf_name").alias("name"), F.col("page_number").alias("page"), F.col("context_text").alias("context"), F.col("bbox").alias("box"),
+        F.col("confidence_score").alias("score"))
+    fields = ["label", "text", "bbox", "confidence", "context_text"]
+    elements = explode_elements(recognition(spark, sf_dir, fields, ["rec_id", "source_file"]), fields).where("label = 'code'")
+    documents = elements.select(
+        F.concat_ws("-", "rec_id", "page_number", "elem_no").alias("d"), "text", F.col("source_file").alias("name"), F.col("page_number").alias("page"), F.col("context_text").alias("context"), F.col("bbox").alias("box"),
+        F.col("confidence").alias("score"))
     return queries, documents
 
 
