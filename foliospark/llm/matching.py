@@ -30,20 +30,22 @@ from foliospark.runtime import materialize
 
 K1, B = 1.2, 0.5
 #: A match has at least this share of the score that all terms of the query could give.
-FLOOR_SHARE = 0.05
+FLOOR_SHARE = 0.08
 #: ... and at least this many times the weight of a term that occurs in one document only.
 FLOOR_TERMS = 1.0
 #: ... but never more than this share of what those of its terms add up to that occur in documents at all.
 FLOOR_KNOWN = 0.5
-#: Documents indexed by one task: some 30 terms of 16 bytes each.
-BLOCK_DOCUMENTS = 1_000_000
-LEAST_BLOCKS = 6
+#: Documents indexed by one task (some 60 terms of 24 bytes each), queries that pass by one task's index, and the least number
+#: of tasks: an index is built once for each part of the queries.
+BLOCK_DOCUMENTS = 250_000
+PART_QUERIES = 200_000
+LEAST_TASKS = 6
 #: Postings that a query looks up before it takes its bar from what it found.
 LOOKED_UP = 256
 #: What an occurrence in the context counts, beside one in the code (BM25F).
 CONTEXT_WEIGHT = 0.2
 #: Documents are compared whose score is at least 1 - MARGIN of the query's best, and the two best.
-MARGIN = 0.3
+MARGIN = 0.1
 #: A pair is a match from this confidence on.
 MIN_CONFIDENCE = 0.5
 
@@ -51,7 +53,7 @@ MIN_CONFIDENCE = 0.5
 ATTRIBUTES = {"text": "string", "name": "string", "page": "int", "context": "string", "box": "array<double>", "score": "double"}
 #: Weights of FEATURES, fitted by fit() on the 4,000 pairs retrieved at the 0.1 scale for planted() queries of even number; the README has the reliability of the others.
 FEATURES = ["one", "overlap", "gap", "mutual", "name", "page", "context", "box", "score"]
-WEIGHTS = np.array([-37.846, 42.787, 1.037, 0.826, 0.55, 0.057, -1.588, 1.531, 0.565])
+WEIGHTS = np.array([-37.815, 42.679, 1.061, 0.686, 0.68, 0.031, -1.449, 1.599, 0.373])
 
 NUMBERED = re.compile(r"^\s*\d+ {2,}")
 CODE_SIGNS = re.compile(r"[_={}<>\[\]\\#%]|\);")
@@ -167,14 +169,29 @@ class Block:
 
     def __init__(self, ids: list[str], classes: np.ndarray, sizes: np.ndarray, t: np.ndarray, saturation: np.ndarray):
         order = np.argsort(t, kind="stable")  # within a term the documents stay in order
-        t = t[order]
         self.ids, self.classes = ids, classes
+        self.own_first = np.concatenate(([0], np.cumsum(sizes)))  # each document's own postings, as they came
+        self.own_saturation = saturation
+        t = t[order]
         self.first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, np.int64)
         self.keys = t[self.first]
         self.first = np.append(self.first, len(t))
         self.doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)[order]
         self.saturation = saturation[order]
         self.scores = np.zeros(len(ids))
+        self.own_place = np.empty(len(t), np.int32)
+        self.own_place[order] = np.repeat(np.arange(len(self.keys), dtype=np.int32), np.diff(self.first)) if len(t) else 0
+        self.weights = np.zeros(len(self.keys))
+
+    def full(self, docs: np.ndarray, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """Full scores of documents for terms at places with weights, from the documents' own postings."""
+        size = self.own_first[docs + 1] - self.own_first[docs]
+        start = np.cumsum(size) - size
+        own = np.arange(size.sum()) + np.repeat(self.own_first[docs] - start, size)
+        self.weights[at] = idf
+        score = np.add.reduceat(self.weights[self.own_place[own]] * self.own_saturation[own], start)
+        self.weights[at] = 0.0
+        return score
 
     def places(self, t: np.ndarray) -> np.ndarray:
         """The place of each term in the index, -1 for those that no document here has."""
@@ -215,10 +232,8 @@ class Block:
         score = self.scores[found]
         self.scores[touched] = 0.0
         if len(found):
-            for w, a, b in zip(idf[k:], start[k:], end[k:]):
-                docs = self.doc[a:b]
-                i = np.minimum(np.searchsorted(docs, found), len(docs) - 1)
-                score += np.where(docs[i] == found, w * self.saturation[a:b][i], 0.0)
+            if k < len(at):
+                score = self.full(found, at, idf)
             kept = score >= max(floor, self.bar(score)) - 1e-9
             found, score = found[kept], score[kept]
             if len(found) > 1:
@@ -229,10 +244,10 @@ class Block:
 
 
 def block_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(q, d, score) from rows (block, query, id, class, t, saturation, idf, most, floor) sorted by the first two: documents are indexed, queries stream by."""
+    """(q, d, score) from rows (task, query, id, class, t, saturation, idf, most, floor) sorted by the first two: documents are indexed, queries stream by."""
     block, number, waiting = None, None, []
     for batch in batches:
-        runs = pc.add(pc.multiply(batch.column("block"), 2), pc.cast(batch.column("query"), pa.int32())).to_numpy(zero_copy_only=False)
+        runs = pc.add(pc.multiply(batch.column("task"), 2), pc.cast(batch.column("query"), pa.int32())).to_numpy(zero_copy_only=False)
         bounds = np.flatnonzero(np.concatenate(([True], runs[1:] != runs[:-1], [True]))) if len(runs) else []
         for a, b in zip(bounds[:-1], bounds[1:]):
             rows = batch.slice(a, b - a)
@@ -264,7 +279,7 @@ def retrieve(queries: DataFrame, documents: DataFrame) -> DataFrame:
     """(q, d, score): for each query the documents of its best BM25 scores, of equal texts the best (of equals the first by d).
 
     queries: q, text, name, page, context; documents: d and the same. All documents that can reach the floor are scored, with all
-    terms however common. Documents are dealt into blocks, each indexed by one task, and the queries pass by every block.
+    terms however common. Documents are dealt into blocks and queries into parts: a task indexes a block, and a part passes by.
     """
     bags = materialize(term_bags(documents, "d"))
     stats = bags.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()
@@ -283,11 +298,15 @@ def retrieve(queries: DataFrame, documents: DataFrame) -> DataFrame:
     # a copy reaches the floor even if all its terms are common
     floor = F.least(F.greatest(FLOOR_SHARE * F.col("total"), F.lit(FLOOR_TERMS * rarest)), FLOOR_KNOWN * F.col("known"))
     asked = asked.where("known > 0").select("q", F.col("bag.t").alias("t"), F.col("bag.idf").alias("idf"), F.col("bag.most").alias("most"), floor.alias("floor"))
-    blocks = max(LEAST_BLOCKS, -(-n // BLOCK_DOCUMENTS))
+    blocks = -(-n // BLOCK_DOCUMENTS)
+    parts = max(-(-queries.select("q").count() // PART_QUERIES), -(-LEAST_TASKS // blocks))
     none = lambda kind: F.lit(None).cast(kind)
-    left = weighed.select(F.pmod(F.xxhash64("d"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("query"), F.col("d").alias("id"), "class", "t", "saturation", none("array<double>").alias("idf"), none("array<float>").alias("most"), none("double").alias("floor"))
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), F.col("q").alias("id"), none("bigint").alias("class"), "t", none("array<float>").alias("saturation"), "idf", "most", "floor")
-    dealt = left.unionByName(right).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "query", F.when(~F.col("query"), F.col("id")))
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    place = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    left = weighed.select(place("d", blocks).alias("block"), each(parts).alias("part"), F.lit(False).alias("query"), F.col("d").alias("id"), "class", "t", "saturation", none("array<double>").alias("idf"), none("array<float>").alias("most"), none("double").alias("floor"))
+    right = asked.select(each(blocks).alias("block"), place("q", parts).alias("part"), F.lit(True).alias("query"), F.col("q").alias("id"), none("bigint").alias("class"), "t", none("array<float>").alias("saturation"), "idf", "most", "floor")
+    dealt = left.unionByName(right).withColumn("task", F.col("block") * parts + F.col("part")).drop("block", "part")
+    dealt = dealt.repartitionById(blocks * parts, F.col("task")).sortWithinPartitions("task", "query", F.when(~F.col("query"), F.col("id")))
     full = dealt.mapInArrow(block_scores, "q string, d string, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "d")
     ranked = full.withColumns({"rank": F.row_number().over(best), "top": F.first("score").over(best)})
