@@ -7,7 +7,9 @@ are recomposed, and the strings are rebuilt from the columns.
 
 What a reader sees is kept: letter case, accents, digits, raised digits, line breaks, the number and place of spaces.
 What a reader doesn't see is unified: kinds of spaces and hyphens, invisible characters, joined letters, wide
-forms, and look-alike Greek and Cyrillic letters in texts whose letters are mostly Latin.
+forms, and look-alike letters. These are decided word by word: in a word with Latin letters all look-alikes are
+folded, in a word of look-alikes alone only those of the very same shape, and only in texts whose letters are mostly Latin; a
+word with any other foreign letter stays. So a symbol such as a single rho or alpha isn't taken for a letter.
 Texts that are all ASCII (with line feeds only) are in that form already and aren't exploded.
 """
 
@@ -25,9 +27,16 @@ from pyspark.sql import functions as F
 
 from foliospark.runtime import materialize, measured_join
 
-#: Letters of other scripts, and the Latin letters that look the same.
-CYRILLIC = ("аеорсухіјѕԁһԛԝАВЕЅІЈКМНОРСТУХҮԌԚԜ", "aeopcyxijsdhqwABESIJKMHOPCTYXYGQW")
-GREEK = ("οανιρυκΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ", "oavipukABEZHIKMNOPTYXcj")
+#: Letters of other scripts, and the Latin letters that have the same shape.
+SAME_SHAPE = [
+    ("аеорсухіјѕԁһԛԝАВЕЅІЈКМНОРСТУХҮԌԚԜ", "aeopcyxijsdhqwABESIJKMHOPCTYXYGQW"),  # Cyrillic
+    ("οΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ", "oABEZHIKMNOPTYXcj"),  # Greek
+    ("օսհոՕՍԼ", "ouhnOUL"),  # Armenian
+    ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏎᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHGZ4VSLCPKB"),  # Cherokee
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),  # Lisu
+]
+#: Letters that look the same within a word only.
+LIKE_SHAPE = [("т", "t"), ("ανιρυκτ", "avipukt"), ("ɑɡɩ", "agi")]
 #: Hyphens, and line ends that are shown as a line feed.
 HYPHENS = "‐‑‒﹣－᠆⁃"
 GROUP_CHARS = 4_000_000
@@ -36,7 +45,12 @@ MIN_CHARS = 20
 
 @lru_cache(maxsize=1)
 def lookalikes() -> dict[int, str]:
-    return {ord(a): b for pair in (CYRILLIC, GREEK) for a, b in zip(*pair)}
+    return {ord(a): b for pair in (*SAME_SHAPE, *LIKE_SHAPE) for a, b in zip(*pair)}
+
+
+@lru_cache(maxsize=1)
+def same_shapes() -> frozenset[int]:
+    return frozenset(ord(a) for pair in SAME_SHAPE for a in pair[0])
 
 
 @lru_cache(maxsize=200_000)
@@ -87,17 +101,30 @@ def by_code(codes: np.ndarray, of) -> np.ndarray:
     return np.array([of(int(x)) for x in known], np.int64)[inverse] if len(known) else np.zeros(0, np.int64)
 
 
-def letters_of(code: int, names: tuple[str, ...]) -> int:
-    """How many letters of the named scripts a code point's parts have."""
-    return sum(q < 0xD800 and chr(q).isalpha() and unicodedata.name(chr(q), "").startswith(names) for q in decomposed(code, False))
-
-
-def latin_letters(code: int) -> int:
-    return letters_of(code, ("LATIN",))
+#: Kinds of code points: no letter, part of a word without being a letter, Latin letter, look-alike of the same shape, other look-alike, other letter.
+NONE, PART, LATIN, SAME, LIKE, OTHER = range(6)
 
 
-def other_letters(code: int) -> int:
-    return letters_of(code, ("GREEK", "CYRILLIC"))
+def kind_of(code: int) -> int:
+    if 0xD800 <= code < 0xE000:
+        return NONE
+    parts = decomposed(code, False)
+    kinds = [(SAME if q in same_shapes() else LIKE) if q in lookalikes() else LATIN if unicodedata.name(chr(q), "").startswith("LATIN") else OTHER for q in parts if chr(q).isalpha()]
+    return max(kinds) if kinds else PART if not parts or unicodedata.combining(chr(parts[0])) else NONE
+
+
+def folded(codes: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
+    """Which code points stand in a word whose look-alikes are folded."""
+    kind = by_code(codes, kind_of)
+    inside = kind != NONE
+    new = np.ones(len(codes), bool)
+    new[1:] = (inside[1:] != inside[:-1]) | (text[1:] != text[:-1])
+    word = np.cumsum(new) - 1
+    has = lambda k: np.bincount(word, kind == k) > 0
+    mixed = ~has(OTHER) & has(LATIN)
+    latin = (kind == LATIN) | (mixed[word] & (kind >= SAME))
+    mostly = np.bincount(text, latin, n_texts) >= np.bincount(text, (kind >= SAME) & ~latin, n_texts)
+    return (mixed | (~has(OTHER) & ~has(LIKE) & mostly[text[new]]))[word] & inside
 
 
 def compose(codes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,8 +170,7 @@ def unify(texts: list[str]) -> list[str]:
         size = np.array([len(t) for t in raw])
         codes = np.frombuffer("".join(raw).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         text = np.repeat(np.arange(len(raw)), size)
-        latin = np.bincount(text, by_code(codes, latin_letters), len(raw)) >= np.bincount(text, by_code(codes, other_letters), len(raw))
-        codes, count = table(codes, latin[text].astype(np.int64))
+        codes, count = table(codes, folded(codes, text, len(raw)).astype(np.int64))
         codes, text = compose(codes, np.repeat(text, count))
         whole = codes.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
         ends = np.cumsum(np.bincount(text, minlength=len(raw)))
@@ -189,6 +215,18 @@ def fingerprints(texts: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return texts.select("key", "text").mapInArrow(run, "key string, form binary, raw binary, changed boolean")
 
 
+def classes(texts: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(key, class, n_links): texts that look the same as another one without being equal, with their class and the number of such others.
+
+    One row for each text however many look the same: the links of a text are its class less the exact copies of it.
+    """
+    prints = fingerprints(texts, min_chars).select("key", "form", "raw").dropDuplicates(["key"])
+    copies = prints.groupBy("form", "raw").agg(F.count(F.lit(1)).alias("n"))
+    several = copies.groupBy("form").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("texts")).where("texts > 1").select("form", "all")
+    links = materialize(copies.join(several, "form").select("form", "raw", (F.col("all") - F.col("n")).alias("n_links")))
+    return measured_join(prints, links, ["form", "raw"]).select("key", F.lower(F.hex("form")).alias("class"), "n_links")
+
+
 def same_looking(texts: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(key_a, key_b): texts with one consistent form that aren't equal; key_a is the smaller.
 

@@ -18,8 +18,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = p1_boilerplate(spark, sf_dir).blocks()
-    return rows.groupBy("source", "block").agg(F.count(F.lit(1)).alias("n_lines"), F.max("records").alias("most_records"))
+    return p1_boilerplate(spark, sf_dir).described()
 
 
 def p1_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +56,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_looking(p4_given(spark, sf_dir))
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.classes(p4_given(spark, sf_dir))
+
+
 def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.unified(p4_given(spark, sf_dir), ["key"]).dropDuplicates(["key"])
 
@@ -130,7 +133,7 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.Truncation(table(spark, sf_dir, "documents")).sources()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p2_found, p2_shares, p3_found, p3_texts, p4_found, p4_texts, p5_found, p5_elements, p5_paragraphs, p7_found, p7_pairs, p8_ids, p9_chosen, p9_shares, p10_found, p10_limits, p10_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p2_found, p2_shares, p3_found, p3_texts, p4_found, p4_classes, p4_texts, p5_found, p5_elements, p5_paragraphs, p7_found, p7_pairs, p8_ids, p9_chosen, p9_shares, p10_found, p10_limits, p10_sources)}
 
 #: Records once, their elements that aren't null, and the elements' lines.
 ELEMENTS = """r as (select rec_id, any_value(source) as source, any_value(pages) as pages from recognition_json group by rec_id),
@@ -138,12 +141,23 @@ pg as (select rec_id, source, unnest(pages) as p from r),
 pe as (select rec_id, source, p.page_number as page_number, list_filter(p.elements, lambda e: e is not null) as es from pg),
 el as (select rec_id, source, page_number, i as elem_no, es[i].label as label, es[i].text as text from pe, unnest(range(1, len(es) + 1)) as t(i))"""
 
-ORACLE: dict[str, str] = {
-    "p1_found": f"""with {ELEMENTS}, sp as (select *, string_split(text, chr(10)) as s from el where source is not null and text is not null and coalesce(label, '') <> 'code'),
- ln as (select source, rec_id, page_number, elem_no, i as line_no, trim(regexp_replace(lower(s[i]), '[^\\p{{L}}]+', ' ', 'g')) as form from sp, unnest(range(1, len(s) + 1)) as t(i)),
+#: Lines with their form, and the forms of enough support; strong: of high support.
+LINES = """sp as (select *, string_split(text, chr(10)) as s from el where source is not null and text is not null and coalesce(label, '') <> 'code'),
+ ln as (select source, rec_id, page_number, elem_no, i as line_no, trim(regexp_replace(lower(s[i]), '[^\\p{L}]+', ' ', 'g')) as form from sp, unnest(range(1, len(s) + 1)) as t(i)),
  n as (select source, count(distinct rec_id) as n from r where source is not null group by source),
- k as (select source, form, count(distinct rec_id) as m from ln where length(replace(form, ' ', '')) >= 8 group by source, form having count(distinct rec_id) >= 4)
-select ln.rec_id, ln.page_number, ln.elem_no::int as elem_no, ln.line_no::int as line_no from ln join k using (source, form) join n using (source) where k.m * 10 >= n.n""",
+ k as (select source, form, m, m * 10 >= n as strong from (select source, form, count(distinct rec_id) as m from ln where length(replace(form, ' ', '')) >= 8 group by source, form having count(distinct rec_id) >= 4) join n using (source) where m * 40 >= n)"""
+
+ORACLE: dict[str, str] = {
+    "p1_found": f"""with {ELEMENTS}, {LINES} select ln.rec_id, ln.page_number, ln.elem_no::int as elem_no, ln.line_no::int as line_no from ln join k using (source, form) where strong""",
+    "p1_blocks": f"""with recursive {ELEMENTS}, {LINES}, fo as (select *, row_number() over (partition by rec_id, page_number order by elem_no, line_no) - 1 as spot, lead(form) over (partition by rec_id, page_number order by elem_no, line_no) as next from ln where length(replace(form, ' ', '')) >= 8),
+ w as (select source, form, next, count(distinct rec_id) as m from fo where next is not null group by source, form, next having count(distinct rec_id) >= 4),
+ e as (select w.source, w.form as a, w.next as b from w join k x on x.source = w.source and x.form = w.form join k y on y.source = w.source and y.form = w.next where w.m * 2 >= least(x.m, y.m)),
+ u as (select source, a, b from e union select source, b, a from e), t as (select source, form, form as other from k union select t.source, t.form, u.b from t join u on u.source = t.source and u.a = t.other),
+ c as (select source, form, min(other) as block from t group by source, form), pl as (select source, form, avg(spot) as place from fo group by source, form),
+ o as (select * from c join k using (source, form) join pl using (source, form))
+select source, block, string_agg(form, ' | ' order by place, form) as lines, count(*) as n_lines, count(*) filter (where not strong) as n_weak, max(m) as most_records from o group by source, block having bool_or(strong)""",
+    "p1_cleaned": f"""with {ELEMENTS}, {LINES}, g as (select rec_id, page_number, elem_no, list(line_no) as gone from ln join k using (source, form) where strong group by all)
+select el.rec_id, el.page_number, el.elem_no::int as elem_no, label, case when gone is null then text else array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: not list_contains(gone, i)), chr(10)) end as text from el left join g using (rec_id, page_number, elem_no)""",
     "p2_found": f"""with {ELEMENTS}, tx as (select 'job_result' as table_name, job_id as row_key, markdown as text from job_result where markdown is not null
   union all select 'recognition_json', rec_id::varchar, string_agg(text, chr(10) order by page_number, elem_no) from el where text is not null group by rec_id),
  w as (select table_name, row_key, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') as ws from tx),

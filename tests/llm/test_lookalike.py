@@ -1,3 +1,4 @@
+import itertools
 import unicodedata
 
 from hypothesis import given, settings
@@ -6,14 +7,23 @@ from hypothesis import strategies as st
 from foliospark.llm import lookalike
 from foliospark.llm.lookalike import unify
 
-ALPHABET = "ab C\n1²é" + "ȩ̣́̈ñÅÅﬁ​­ ‑–ｅаоΜ"
+ALPHABET = "ab C\n1²é" + "ȩ̣́̈ñÅÅﬁ​­ ‑–ｅаоΜρж"
 
 
 def one_by_one(text):
-    """By definition: each character mapped, then canonical composition."""
+    """By definition: the words of a text one after the other, their characters mapped, then canonical composition."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    fold = sum(lookalike.latin_letters(ord(c)) for c in text) >= sum(lookalike.other_letters(ord(c)) for c in text)
-    return unicodedata.normalize("NFC", "".join(chr(q) for c in text for q in lookalike.decomposed(ord(c), fold)))
+    kind = lookalike.kind_of
+    words = [list(w) for _, w in itertools.groupby(text, lambda c: kind(ord(c)) != lookalike.NONE)]
+    has = lambda w, k: any(kind(ord(c)) == k for c in w)
+    mixed = [has(w, lookalike.LATIN) and not has(w, lookalike.OTHER) for w in words]
+    latin = sum(kind(ord(c)) >= lookalike.LATIN and (m or kind(ord(c)) == lookalike.LATIN) for w, m in zip(words, mixed) for c in w)
+    mostly = 2 * latin >= sum(kind(ord(c)) >= lookalike.LATIN for c in text)
+    out = ""
+    for w, m in zip(words, mixed):
+        fold = m or (mostly and not has(w, lookalike.OTHER) and not has(w, lookalike.LIKE))
+        out += "".join(chr(q) for c in w for q in lookalike.decomposed(ord(c), fold))
+    return unicodedata.normalize("NFC", out)
 
 
 @settings(max_examples=300, deadline=None)
@@ -26,7 +36,14 @@ def test_against_one_by_one(texts):
 def test_seen_and_unseen():
     assert unify(["ｈｅｌｌｏ", "of­ﬁce", "a b", "Μ4‐L6 plain", "señal", "m²", "Straße Ä"]) == ["hello", "office", "a b", "M4-L6 plain", "señal", "m²", "Straße Ä"]
     assert len(set(unify(["a b", "a  b", "ab", "a\nb", "A b", "á b", "m2 b", "m² b"]))) == 8
-    assert unify(["Привет мир"]) == ["Привет мир"]
+    assert unify(["Привет мир", "сор"]) == ["Привет мир", "сор"]
+
+
+def test_words_decide():
+    """Symbols and words of another script stay, look-alikes within Latin words don't."""
+    same = ["density ρ and pressure p", "angle α of it", "the word мир is Russian", "μ and Ω stay", "ışık"]
+    assert unify(same) == same
+    assert unify(["ѕcаlе", "vαlue", "sɡ", "a sсоре of it", "the а and the Ο", "ᎪᏢI call", "ꓓꓳꓖ days here", "оut"]) == ["scale", "value", "sg", "a scope of it", "the a and the O", "API call", "DOG days here", "out"]
 
 
 def test_pairs(spark):
@@ -37,5 +54,8 @@ def test_pairs(spark):
     want = {tuple(sorted((a, b))) for a in ("c1", "c2", "r1-1-1") for b in ("r1-1-2", "r1-1-3")} | {("c1", "r1-1-1"), ("c2", "r1-1-1")}
     assert got == want
     assert lookalike.same_looking(df.limit(0)).count() == 0
+    classes = {r.key: (r["class"], r.n_links) for r in lookalike.classes(df).collect()}
+    assert {k: v[1] for k, v in classes.items()} == {k: sum(k in pair for pair in want) for k in {x for pair in want for x in pair}} and len({v[0] for v in classes.values()}) == 1
+    assert lookalike.classes(df.limit(0)).count() == 0
     form = {r.key: (r.text, r.changed) for r in lookalike.unified(df, ["key"]).collect()}
     assert form["r1-1-2"] == (base, True) and form["n"] == (None, False) and form["e"] == ("", False)
