@@ -42,6 +42,8 @@ PART_QUERIES = 200_000
 LEAST_TASKS = 6
 #: Postings that a query looks up before it takes its bar from what it found.
 LOOKED_UP = 256
+#: Documents that are scored in full first, to raise the bar.
+LIKELIEST = 16
 #: What an occurrence in the context counts, beside one in the code (BM25F).
 CONTEXT_WEIGHT = 0.2
 #: Documents are compared whose score is at least 1 - MARGIN of the query's best, and the two best.
@@ -220,17 +222,31 @@ class Block:
         rest = np.append(np.cumsum((idf * most)[::-1])[::-1], 0.0) * (1 + 1e-9)
         start, end = self.first[at], self.first[at + 1]
         hits = np.cumsum(end - start)
-        touched, bar, k = np.zeros(0, np.int32), floor, 0
+        touched, bar, k, first, second = [], floor, 0, None, 0.0
         while k < len(at) and rest[k] >= bar:
-            more = max(k + 1, int(np.searchsorted(hits, 4 * len(touched) + LOOKED_UP, "right")))
+            more = max(k + 1, int(np.searchsorted(hits, 4 * sum(map(len, touched)) + LOOKED_UP, "right")))
             more = min(more, int(np.count_nonzero(rest[:-1] >= bar)))
             docs = np.concatenate([self.doc[a:b] for a, b in zip(start[k:more], end[k:more])])
             np.add.at(self.scores, docs, np.concatenate([w * self.saturation[a:b] for w, a, b in zip(idf[k:more], start[k:more], end[k:more])]))
-            touched, k = np.unique(np.concatenate((touched, docs))), more
-            bar = max(bar, self.bar(self.scores[touched]))
-        found = touched[self.scores[touched] + rest[k] >= bar - 1e-9]
-        score = self.scores[found]
+            touched.append(docs)
+            k = more
+            values = self.scores[docs]
+            best = docs[values.argmax()]
+            if first is None or self.scores[best] >= self.scores[first]:
+                first = best
+            second = max(second, values.max(where=docs != first, initial=0.0))
+            bar = max(bar, min(second, (1 - MARGIN) * self.scores[first]))
+        if not touched:
+            return np.zeros(0, np.int64), np.zeros(0)
+        touched = np.concatenate(touched)
+        score = self.scores[touched]
+        found, at_first = np.unique(touched[score + rest[k] >= bar - 1e-9], return_index=True)
+        score = score[score + rest[k] >= bar - 1e-9][at_first]
         self.scores[touched] = 0.0
+        if k < len(at) and len(found) > LIKELIEST:  # full scores of the likeliest raise the bar for the others
+            bar = max(bar, self.bar(self.full(found[np.argpartition(score, -LIKELIEST)[-LIKELIEST:]], at, idf)))
+            kept = score + rest[k] >= bar - 1e-9
+            found, score = found[kept], score[kept]
         if len(found):
             if k < len(at):
                 score = self.full(found, at, idf)
