@@ -2,7 +2,8 @@
 
 Lengths are recomputed under several encodings (characters, UTF-8 bytes, UTF-16 units, entity escaping, JSON escaping
 with letters kept or as ASCII, CR LF line ends) and grouped by source: a length that far more distinct texts have than its neighbourhood is a
-hidden storage limit. Then the endings are inspected: an ending is complete, cut, or open to doubt (a heading-like
+hidden storage limit. Of the encodings that show limits of a source, the one that explains most texts is the one its field is
+measured in. Then the endings are inspected: an ending is complete, cut, or open to doubt (a heading-like
 line, a list item, dots of its own or of a cut). Doubt is settled by the limits, by the corpus's own words (a last
 word that is rare but begins a frequent one is a part of a word) and by the forms of list items that occur elsewhere.
 """
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.runtime import materialize, measured_join
@@ -27,9 +28,10 @@ LIMIT_TEXTS = 5
 LIMIT_TIMES = 8
 LIMIT_OPEN = 0.7
 NEAR = 50
-#: A word part: a last word seen elsewhere at most so often, that begins a word seen at least so often.
-RARE_WORD = 2
-COMMON_WORD = 20
+#: A word part: a last word that is at most such a share of all words elsewhere, and begins a word of at least such a share. In
+#: small corpora these counts hold.
+RARE_SHARE, RARE_WORD = 1e-6, 2
+COMMON_SHARE, COMMON_WORD = 1e-5, 20
 #: Forms of list items that make up at least this share of all are complete forms.
 FORM_SHARE = 0.004
 
@@ -146,7 +148,7 @@ def ending(text: str) -> tuple[str, str, str]:
 
 
 def inspected(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, h, lengths, bare: the characters before a mark of the cut, kind, word, form) of every text that isn't blank."""
+    """(doc_id, source, h: hash of the text, lengths under VARIANTS, kind, last word, form of a list item) of every text that isn't blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +198,7 @@ class Truncation:
         self.rows = materialize(inspected(documents))
 
     def limits(self) -> DataFrame:
-        """(source, variant, length, texts): lengths that far more distinct texts have than those near them."""
+        """(source, variant, length, texts): lengths that far more distinct texts have than those near them, in the encoding that explains most texts of the source (of equals the first of VARIANTS)."""
         each = self.rows.select(F.coalesce("source", F.lit("")).alias("source"), "h", F.col("kind").isin("cut", "dots").cast("int").alias("open"), F.posexplode("lengths").alias("v", "length"))
         counts = each.groupBy("source", "v", "length", "h").agg(F.max("open").alias("open")).groupBy("source", "v", "length").agg(F.count(F.lit(1)).alias("texts"), F.sum("open").alias("open"))
         counts = materialize(counts)
@@ -207,6 +209,9 @@ class Truncation:
         near = counts.withColumn("cell", cell).join(cells, ["source", "v", "cell"]).where(F.abs(F.col("length") - F.col("peak")) <= NEAR)
         sums = near.groupBy("source", "v", "peak", "peak_texts").agg(F.sum("texts").alias("all"))
         kept = sums.where(F.col("peak_texts") * (2 * NEAR) >= LIMIT_TIMES * (F.col("all") - F.col("peak_texts")))
+        best = Window.partitionBy("source").orderBy(F.desc("explained"), "v")
+        chosen = kept.groupBy("source", "v").agg(F.sum("peak_texts").alias("explained")).withColumn("rank", F.row_number().over(best)).where("rank = 1")
+        kept = kept.join(chosen.select("source", "v"), ["source", "v"], "left_semi")
         return kept.select("source", F.element_at(F.array(*map(F.lit, VARIANTS)), F.col("v") + 1).alias("variant"), F.col("v"), F.col("peak").alias("length"), F.col("peak_texts").alias("texts"))
 
     def doubtful(self) -> DataFrame:
@@ -217,10 +222,12 @@ class Truncation:
         at_limit = measured_join(places, limits.select("source", "v", "length"), ["source", "v", "length"], "left_semi").select("doc_id").distinct()
         counts = materialize(corpus_words(self.documents))
         words = counts.where("kind = 'word'").select(F.col("value").alias("word"), "n")
-        long = words.where(F.col("n") >= COMMON_WORD)
+        all_words = words.agg(F.sum("n")).first()[0] or 0
+        rare, common = max(RARE_WORD, RARE_SHARE * all_words), max(COMMON_WORD, COMMON_SHARE * all_words)
+        long = words.where(F.col("n") >= common)  # at most 1 / COMMON_SHARE words
         heads = long.select(F.explode(F.expr("transform(sequence(1, greatest(length(word) - 1, 1)), i -> substring(word, 1, i))")).alias("word")).distinct()
         last = rows.where("word <> ''").select("word").distinct()
-        parts = last.join(heads, "word", "left_semi").join(words.where(F.col("n") > RARE_WORD), "word", "left_anti")
+        parts = last.join(heads, "word", "left_semi").join(words.where(F.col("n") > rare), "word", "left_anti")
         forms = counts.where("kind = 'form'").select(F.col("value").alias("form"), "n")
         total = forms.agg(F.sum("n").alias("total"))
         known = forms.join(F.broadcast(total)).where(F.col("n") >= FORM_SHARE * F.col("total")).select("form")  # one row
