@@ -1,6 +1,8 @@
 """Mixing sources to target weights, by fitting subset sums to token budgets.
 
-Each listed source gets a budget: its share of the whole number of tokens to be mixed. Its documents are counted by
+Each listed source gets a budget: its share of the whole number of tokens to be mixed. If a source can't fill its share of all
+tokens there are with max_repeats uses of each document, the whole number is lowered until it can (not below LEAST_TOTAL of
+all tokens, and sources that have no tokens to give aside), so that no source stands above its target for another's lack. Its documents are counted by
 exact length in tokens. A common part of every length's uses is taken at once; what remains of the budget is
 filled by a bounded-knapsack dynamic program over the lengths that are left, whose set of reachable sums is the bits of
 one whole number. The uses of a length are then spread over its documents, the seeded order deciding who gets one more.
@@ -22,6 +24,8 @@ SEED = 20240501
 #: The dynamic program fills at most about so many tokens of a budget; the rest is taken in whole uses of lengths.
 WINDOW = 40_000
 BUCKETS = 1024
+#: The whole number of tokens is lowered to at least this share of all tokens of the listed sources.
+LEAST_TOTAL = 0.25
 
 
 def fill(lengths: list[int], left: list[int], budget: int) -> list[int]:
@@ -92,8 +96,8 @@ class Mixture:
     """The chosen documents and the actual shares.
 
     documents: doc_id (unique), text, source; targets: source (unique), target_share, max_repeats. The tokens to be
-    mixed are those of all listed sources' documents together, or `total`. A source that can't fill its budget
-    with max_repeats uses of each document gives all of them. Documents without tokens (null and empty texts), without a source or of a
+    mixed are `total`, or else as many of those of all listed sources' documents together (`all_tokens`) as leave every source that has
+    any within reach of its target. A source that can't fill its budget with max_repeats uses of each document gives all of them. Documents without tokens (null and empty texts), without a source or of a
     source that isn't listed aren't chosen; a null share or number of repeats counts as 0. Equal texts under other ids
     are documents of their own. Empty tables give no documents and shares of 0.
     """
@@ -107,9 +111,16 @@ class Mixture:
         self.kept, self.seed = kept, seed
         # documents by source, length and seeded bucket: what is ranked later is never more than one bucket
         self.buckets = materialize(kept.groupBy("source", "n_tokens", "bucket").agg(F.count(F.lit(1)).alias("docs")))
-        self.total = total if total is not None else (self.buckets.agg(F.sum(F.col("n_tokens") * F.col("docs")).alias("t")).first()["t"] or 0)
+        self.all_tokens = self.buckets.agg(F.sum(F.col("n_tokens") * F.col("docs")).alias("t")).first()["t"] or 0
+        self.total = total if total is not None else self._reachable()
         self.plan = materialize(self._plan())
 
+    def _reachable(self) -> int:
+        """The greatest total, up to all tokens, of which every source that has tokens to give can fill its share."""
+        given = self.buckets.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("docs")).alias("t")).join(self.targets, "source")
+        most = given.where("target_share > 0 and max_repeats > 0").agg(F.min(F.col("t") * F.col("max_repeats") / F.col("target_share"))).first()[0]
+        return self.all_tokens if most is None else max(min(self.all_tokens, math.floor(most)), math.ceil(LEAST_TOTAL * self.all_tokens))
+
     def _plan(self) -> DataFrame:
         """(source, n_tokens, uses, docs): uses of each length. A source's group has a row for each length only."""
         total, seed = self.total, self.seed
@@ -133,15 +144,15 @@ class Mixture:
         spread = spread.withColumn("more", F.greatest(F.lit(0), F.least(F.col("docs"), F.col("extra") - F.col("before"))))
         rows = self.kept.join(spread, ["source", "n_tokens", "bucket"])
         whole = rows.where((F.col("more") == 0) | (F.col("more") == F.col("docs"))).select("doc_id", "source", "n_tokens", (F.col("base") + (F.col("more") > 0).cast("bigint")).alias("uses"))
-        order = Window.partitionBy("source", "n_tokens", "bucket").orderBy("doc_id")
+        order = Window.partitionBy("source", "n_tokens", "bucket").orderBy(F.xxhash64(F.lit(self.seed), F.lit("order"), F.col("doc_id")), "doc_id")
         edge = rows.where((F.col("more") > 0) & (F.col("more") < F.col("docs"))).withColumn("rank", F.row_number().over(order))
         part = edge.select("doc_id", "source", "n_tokens", (F.col("base") + (F.col("rank") <= F.col("more")).cast("bigint")).alias("uses"))
         return whole.unionByName(part).where("uses > 0")
 
     def shares(self) -> DataFrame:
-        """(source, target_share, actual_share, max_repeats, tokens, budget, documents, uses): one row for each listed source."""
+        """(source, target_share, actual_share, max_repeats, tokens, budget, nominal_budget, documents, uses): one row for each listed source. nominal_budget: its share of all tokens, before the whole number was lowered."""
         used = self.chosen().groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.sum("uses").alias("uses"))
         rows = self.targets.join(used, "source", "left").fillna(0, ["tokens", "documents", "uses"])
         all_tokens = F.sum("tokens").over(Window.partitionBy(F.lit(1)))  # over the listed sources only, a row for each
         share = F.when(all_tokens > 0, F.col("tokens") / all_tokens).otherwise(0.0)
-        return rows.select("source", "target_share", share.alias("actual_share"), "max_repeats", "tokens", F.floor(F.col("target_share") * self.total + 0.5).alias("budget"), "documents", "uses")
+        return rows.select("source", "target_share", share.alias("actual_share"), "max_repeats", "tokens", F.floor(F.col("target_share") * self.total + 0.5).alias("budget"), F.floor(F.col("target_share") * self.all_tokens + 0.5).alias("nominal_budget"), "documents", "uses")
