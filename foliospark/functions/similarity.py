@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import code_form, content_type
+from foliospark.functions.text import NEARLY, OVERLAP_WEIGHT, code_form, content_type
 
 
 def matched(a, b) -> int:
@@ -45,8 +45,8 @@ def with_similarity(rows: DataFrame, a: Column, b: Column, name: str) -> DataFra
     kept = kept.withColumn("_ratio", sm_ratio(F.col("_x"), F.col("_y")))
     wx, wy = F.array_distinct(F.split("_x", " ")), F.array_distinct(F.split("_y", " "))
     empty = (F.coalesce("_x", F.lit("")) == "") | (F.coalesce("_y", F.lit("")) == "")
-    plain = (F.col("_kind") == "natural_language") & (F.col("_ratio") < 0.7)
-    value = F.when(empty, F.lit(0.0)).when(plain, F.greatest("_ratio", jaccard(wx, wy) * 0.8)).otherwise(F.col("_ratio"))
+    plain = (F.col("_kind") == "natural_language") & (F.col("_ratio") < NEARLY)
+    value = F.when(empty, F.lit(0.0)).when(plain, F.greatest("_ratio", jaccard(wx, wy) * OVERLAP_WEIGHT)).otherwise(F.col("_ratio"))
     return kept.withColumn(name, value).drop("_a", "_b", "_kind", "_x", "_y", "_ratio")
 
 

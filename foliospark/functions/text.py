@@ -26,6 +26,8 @@ CODE_FORMS = [
 CODE_SIGNS = ("–—−․×÷            　", "---.x/             ")
 #: Letter groups that recognition confuses, in the order in which they are rewritten.
 DIGRAPHS = [("rn", "m"), ("ii", "ll"), ("vv", "w"), ("cl", "d"), ("ri", "n"), ("ni", "n"), ("ln", "h"), ("hl", "h")]
+#: Below this ratio the overlap of words counts, so many times.
+NEARLY, OVERLAP_WEIGHT = 0.7, 0.8
 #: Signs of code, of commands and of configuration.
 CODE_MARKS = [
     r"\bdef\s+\w+\(", r"\bclass\s+\w+", r"\bimport\s+\w+", r"\bfrom\s+\w+\s+import", r"\b(int|str|bool|float|void|char|public|private|static)\b", r"[{}();]",

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,49 +42,34 @@ def lines_left(lines: DataFrame, texts: DataFrame) -> DataFrame:
     return formed.join(gone, ["doc", "page_no", "_form"], "left_anti").drop("_form")
 
 
-#: Dashes and quotes and their plain forms, for comparing headers.
-PLAIN = str.maketrans({"–": "-", "—": "-", "‘": "'", "’": "'", "“": '"', "”": '"'})
-
-
-def form(text: str) -> str:
-    return " ".join(text.translate(PLAIN).split()).lower()
-
-
-def without(content: str, text: str) -> str:
-    """A page without a text: lines equal to it go, and runs of lines (blank ones between them aside) that make it up; headings that hold it stay."""
-    target = form(text)
-    if not target or not content:
-        return content
-    lines = content.split("\n")
-    forms = [form(x) for x in lines]
-    kept, at = [], 0
-    while at < len(lines):
-        own = forms[at]
-        if re.match(r"\s*#+\s", lines[at]) and target in own:
-            end = 0
-        elif own == target:
-            end = at + 1
-        else:
-            end = run_end(forms, at, target) if own and target.startswith(own) else 0
-        if end:
-            at = end
-        else:
-            kept.append(lines[at])
-            at += 1
-    return re.sub(r"\n\s*\n\s*\n+", "\n\n", "\n".join(kept)).strip()
-
-
-def run_end(forms: list[str], start: int, target: str) -> int:
-    """The place after the run of lines from start that makes up the target, or 0."""
-    said = forms[start]
-    for at in range(start + 1, len(forms)):
-        if len(said) >= len(target):
-            return 0
-        if forms[at]:
-            said += " " + forms[at]
-            if said == target:
-                return at + 1
-    return 0
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+#: Characters that headers are compared alike in, as a pattern for each.
+ALIKE = {"-": "[-–—]", "'": "['‘’]", '"': '["“”]'}
+
+
+def line_pattern(text: Column) -> Column:
+    """A pattern for the lines that make up a text: its words in any case, over any number of lines, blank ones between them.
+
+    A text that begins with the mark of a heading isn't found in a single line, as headings stay.
+    """
+    word = lambda w: reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(rf"\E{x[1]}\Q")), ALIKE.items(), F.replace(w, F.lit("\\"), F.lit("\\E\\\\\\Q")))
+    words = F.transform(F.split(header_form(text), " "), lambda w: F.concat(F.lit("\\Q"), word(w), F.lit("\\E")))
+    end = F.lit(r"[^\S\n]*(?:\n|\z)")
+    own = F.when(F.get(words, F.lit(0)).rlike(r"^\\Q#+\\E$"), F.concat(F.lit(r"(?![^\S\n]*"), F.array_join(words, r"[^\S\n]+"), end, F.lit(")"))).otherwise("")
+    return F.concat(F.lit("(?miuUd)^"), own, F.lit(r"[^\S\n]*"), F.array_join(words, r"\s+"), end)
+
+
+def without(content: Column, text: Column) -> Column:
+    """A page without a text: lines equal to it go, and runs of lines (blank ones between them aside) that make it up; headings that hold it stay.
+
+    What is left is trimmed and has no more than one blank line in a row. A blank text takes nothing out.
+    """
+    left = F.regexp_replace(content, line_pattern(text), F.lit(""))
+    closed = trimmed(F.regexp_replace(left, r"(?U)\n\s*\n\s*\n+", "\n\n"))
+    return F.when((header_form(text) != "") & (content != ""), closed).otherwise(content)
 
 
 def removed(pages: DataFrame, texts: DataFrame) -> DataFrame:
@@ -93,26 +77,19 @@ def removed(pages: DataFrame, texts: DataFrame) -> DataFrame:
 
     pages: doc, page_no, content. Each text sees the result of the one before; order: headers, footers, watermarks, as
     they stand on the page. A page on which nothing applies stays as it is; otherwise it is trimmed and set between blank
-    lines. One join on (doc, page); the pages of a document spread over tasks.
+    lines. One join on (doc, page); the pages of a document spread over tasks; a page's texts are folded in Catalyst.
     """
     rank = F.when(F.col("kind") == "header", 0).when(F.col("kind") == "footer", 1).otherwise(2)
     wanted = texts.where(applies(F.col("kind"), F.col("page_number"))).groupBy("doc", F.col("page_number").alias("page_no"))
     wanted = wanted.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "texts"))), lambda x: x["texts"])).alias("_texts"))
+    start = F.struct(trimmed(F.coalesce("content", F.lit(""))).alias("page"), F.lit(0).alias("n"))
+
+    def take_out(so_far: Column, text: Column) -> Column:
+        page = without(so_far["page"], text)
+        return F.struct(page.alias("page"), (so_far["n"] + (page != so_far["page"]).cast("int")).alias("n"))
 
-    @F.pandas_udf("struct<content: string, removals: int>")
-    def take_out(content: pd.Series, lists: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, gone in zip(content, lists):
-            page, n = (text or "").strip(), 0
-            for t in gone if gone is not None else ():
-                new = without(page, t)
-                n += new != page
-                page = new
-            out.append((page if n else text, n))
-        return pd.DataFrame(out, columns=["content", "removals"])
-
-    joined = pages.join(wanted, ["doc", "page_no"], "left").withColumn("_r", take_out("content", "_texts"))
-    changed = F.col("_r.removals") > 0
+    joined = pages.join(wanted, ["doc", "page_no"], "left").withColumn("_r", F.aggregate(F.coalesce("_texts", F.array().cast("array<string>")), start, take_out))
+    changed = F.col("_r.n") > 0
     last = F.max("page_no").over(Window.partitionBy("doc"))
-    framed = F.concat(F.when(F.col("page_no") > 1, "\n\n").otherwise(""), F.col("_r.content"), F.when(F.col("page_no") < last, "\n\n").otherwise(""))
-    return joined.select("doc", "page_no", F.when(changed, framed).otherwise(F.col("content")).alias("content"), F.coalesce(F.col("_r.removals"), F.lit(0)).alias("removals"))
+    framed = F.concat(F.when(F.col("page_no") > 1, "\n\n").otherwise(""), F.col("_r.page"), F.when(F.col("page_no") < last, "\n\n").otherwise(""))
+    return joined.select("doc", "page_no", F.when(changed, framed).otherwise(F.col("content")).alias("content"), F.col("_r.n").alias("removals"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import similarity, text
-from foliospark.functions.plain import Likeness, best_run, best_window, plain_code_form, plain_content_type, plain_similarity
+from foliospark.functions.search import at_most, best_run, best_window, likeness
 from foliospark.operators import code, figures, headers, lines, ocr, tables
 
 
@@ -43,15 +43,23 @@ def test_predicates(spark):
 SAMPLES = ["", "  ", "def f(x):\n  return x.y", "git commit -m x --all", "port = 80\n[server]", "# c", "Just some words here", "a=b", "ﬁne – “x” × 3…", "rn ii cl vni", None, "x" * 600 + "{", "SELECT a FROM b;"]
 
 
-def test_column_and_plain_forms_agree(spark):
+def test_code_forms(spark):
+    cases = {"  A–b…\n x = {1} ": "a-b... x = {1}", "ﬁle ÷ 2°": "file / 2deg", "a\u3000b ¶ c": "a b c", "": "", "\t": ""}
+    assert column(spark, [*cases, None], text.code_form) == [*cases.values(), None]
+    assert column(spark, ["Corn: x_1;", "clarity", "a.b-c"], lambda c: text.code_form(c, True)) == ["com x_1", "danty", "a b-c"]
+    kinds = {"def f(x): return {1}": "code", "git commit -m x --all": "command", "[a]\nport = 80": "config", "The pump was drained": "natural_language", "a.b": "mixed", "x": "mixed", None: "mixed"}
+    assert column(spark, kinds, text.content_type) == list(kinds.values())
+
+
+def test_similarity(spark):
     there = [s for s in SAMPLES if s is not None]
-    assert column(spark, there, text.content_type) == [plain_content_type(s) for s in there]
-    assert column(spark, there, text.code_form) == [plain_code_form(s) for s in there]
-    assert column(spark, there, lambda c: text.code_form(c, True)) == [plain_code_form(s, True) for s in there]
     pairs = [(a, b) for a in there for b in there[:8]]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
-    got = [r.s for r in similarity.with_similarity(df, F.col("a"), F.col("b"), "s").orderBy("i").collect()]
-    assert got == pytest.approx([plain_similarity(a, b) for a, b in pairs])
+    hard = text.content_type(F.col("a")).isin("code", "command", "config")
+    forms = [F.when(hard, text.code_form(F.col(c), True)).otherwise(text.code_form(F.col(c))).alias(f"f{c}") for c in "ab"]
+    rows = similarity.with_similarity(df, F.col("a"), F.col("b"), "s").join(df.select("i", *forms, (text.content_type(F.col("a")) == "natural_language").alias("natural")), "i").orderBy("i").collect()
+    assert [r.s for r in rows] == pytest.approx([likeness(r.fa, r.fb, r.natural) for r in rows])
+    assert all(at_most(r.fa, r.fb, r.natural) >= r.s - 1e-12 for r in rows)
 
 
 def test_sequence_ratio(spark):
@@ -63,25 +71,31 @@ def test_bounded_search_finds_the_first_best():
     rng = random.Random(2)
     word = lambda: "".join(rng.choices("abc=()", k=4))
     for _ in range(25):
-        page = "\n".join(" ".join(word() for _ in range(rng.randint(0, 4))) for _ in range(12))
-        wanted = "\n".join(" ".join(word() for _ in range(3)) for _ in range(3))
-        rows = page.split("\n")
-        best = None
-        for n in (3, 5, 2):
-            for i in range(len(rows) - n + 1):
-                s = "\n".join(rows[i : i + n])
-                if s.strip():
-                    value = plain_similarity(plain_code_form(wanted), plain_code_form(s)) * (1.1 if n == 3 else 1)
-                    if best is None or value > best[1]:
-                        best = (s, value)
-        assert best_window(wanted, page, ("def ",)) == best
-        kept, asked = [x.strip() for x in rows if x.strip()], [x.strip() for x in wanted.split("\n")]
-        runs = [(sum(plain_similarity(kept[i + j], asked[j]) for j in range(3)) / 3, -i) for i in range(len(kept) - 2)]
-        if runs:
-            value, i = max(runs)
-            got = best_run(wanted, page)
-            assert got[1] == pytest.approx(value) and got[0].split("\n")[0] == kept[-i]
-    assert Likeness("").exact("x") == 0.0 and best_run("one line", "a\nb") is None
+        rows = [" ".join(word() for _ in range(rng.randint(0, 4))) for _ in range(12)]
+        wanted = [" ".join(word() for _ in range(3)) for _ in range(3)]
+        whole, natural, marked = " ".join(wanted), rng.random() < 0.5, [rng.random() < 0.2 for _ in rows]
+        runs = [(i, n) for n in (3, 5, 2) for i in range(len(rows) - n + 1) if any(rows[i : i + n])]
+        score = lambda r: likeness(whole, " ".join(filter(None, rows[r[0] : r[0] + r[1]])), natural) * (1.1 if r[1] == 3 else 1.0) * (1.05 if any(marked[r[0] : r[0] + r[1]]) else 1.0)  # noqa: B023, E731
+        best = max(runs, key=score)
+        assert best_window(3, whole, natural, rows, [not x for x in rows], marked) == (*best, pytest.approx(score(best)))
+        page = [{"form": x, "hard": rng.random() < 0.5, "natural": rng.random() < 0.5} for x in rows]
+        asked = [{"plain": x, "hard": x.replace("a", "b")} for x in wanted]
+        mean = lambda i: sum(likeness(p["form"], w["hard" if p["hard"] else "plain"], p["natural"]) for p, w in zip(page[i:], asked)) / 3  # noqa: B023, E731
+        at = max(range(10), key=mean)
+        assert best_run(asked, page) == (at, pytest.approx(mean(at)))
+    assert likeness("", "x", True) == at_most("x", "", False) == 0.0 and best_run([{"plain": "a", "hard": "a"}], [{}, {}]) is None and best_window(1, "x", False, [""], [True], [False]) is None
+
+
+def test_code_search(spark):
+    pages = spark.createDataFrame([(1, 1, "The page begins\n\n  def f(x):\n    return x + 1\n\nThe page ends"), (1, 2, "Nothing like it"), (2, 1, None)], "doc int, page_no int, content string")
+    pieces = [(1, 1, 1, "def f(x):\nreturn x+1"), (1, 1, 2, None), (1, 2, 1, "a = [1, 2, 3]\nb = 5"), (2, 1, 1, "x = 1"), (3, 1, 1, "y = 2")]
+    best = code.best_windows(spark.createDataFrame(pieces, "doc int, page_no int, elem_no int, code string"), pages)
+    got = {(r.doc, r.page_no, r.elem_no): (r.segment, r.score is not None) for r in best.collect()}
+    assert got == {(1, 1, 1): ("def f(x):\n    return x + 1", True), (1, 1, 2): (None, False), (1, 2, 1): ("a = [1, 2, 3]\nb = 5", False), (2, 1, 1): ("x = 1", False), (3, 1, 1): ("y = 2", False)}
+    asked = spark.createDataFrame([(1, 7, "def f(x):\nreturn x+1", "The page begins", None)], "doc int, elem_no int, code string, context string, bbox array<double>")
+    found = code.page_matches(asked, pages).collect()
+    assert {(r.strategy, r.page_no) for r in found} >= {("lines", 1)} and [r.pdf_text for r in found if r.strategy == "lines" and r.page_no == 1] == ["def f(x):\nreturn x + 1"]
+    assert code.best_windows(spark.createDataFrame([], "doc int, page_no int, elem_no int, code string"), pages).count() == 0
 
 
 def test_code_format(spark):
@@ -95,11 +109,37 @@ def test_code_format(spark):
     assert column(spark, cases, code.format_code) == list(cases.values())
 
 
-def test_header_removal():
+def test_header_removal(spark):
+    without = lambda page, t: spark.createDataFrame([(page, t)], "p string, t string").select(headers.without(F.col("p"), F.col("t"))).first()[0]
     page = "Intro\n# Intro\nkept\nA long\n\nheader text\nend\n\n\n\nlast"
-    assert headers.without(page, "intro") == "# Intro\nkept\nA long\n\nheader text\nend\n\nlast"
-    assert headers.without(page, "A long header  text") == "Intro\n# Intro\nkept\nend\n\nlast"
-    assert headers.without(page, "A long header") == re.sub("\n\n\n+", "\n\n", page) and headers.without("", "x") == "" and headers.without("x", " ") == "x"
+    assert without(page, "intro") == "# Intro\nkept\nA long\n\nheader text\nend\n\nlast"
+    assert without(page, "A long header  text") == "Intro\n# Intro\nkept\nend\n\nlast"
+    assert without(page, "A long header") == re.sub("\n\n\n+", "\n\n", page) and without("", "x") == "" and without("x", " ") == "x"
+    assert without("a\n# Intro\nb\n#\nintro\nc", "# intro") == "a\n# Intro\nb\nc"
+    assert without("keep\n  The ‘new’ — \\E(x).* \nRULE\nthe 'new' - \\E(x).* rules", "the 'NEW' – \\E(x).* rule") == "keep\nthe 'new' - \\E(x).* rules"
+    assert without("x\nx\ny\nx", "X") == "y"
+
+
+def brute_removal(content, text):
+    """By definition: from each line on, the shortest run of lines whose joined form is the text's is dropped."""
+    plain = lambda t: " ".join(t.translate(str.maketrans("–—‘’“”", "--''\"\"")).split()).lower()
+    target, lines, kept, i = plain(text), content.split("\n"), [], 0
+    while i < len(lines):
+        ends = [j for j in range(i + 1, len(lines) + 1) if plain(lines[i]) and plain("\n".join(lines[i:j])) == target]
+        heading = re.match(r"\s*#+\s", lines[i]) and target in plain(lines[i])
+        if ends and not heading:
+            i = ends[0]
+        else:
+            kept.append(lines[i])
+            i += 1
+    return re.sub(r"\n\s*\n\s*\n+", "\n\n", "\n".join(kept)).strip() if target and content else content
+
+
+def test_header_removal_against_brute_force(spark):
+    rng = random.Random(6)
+    rows = [("\n".join(rng.choice(["A b", "a  B c", "c", "b", "", " ", "# a b", "A", "a b c", "“b” - c"]) for _ in range(rng.randint(1, 9))), rng.choice(["a b c", "A b", "b", "# a b", "\"b\" – c", " ", "a b c c"])) for _ in range(400)]
+    got = [r[0] for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, p string, t string").orderBy("i").select(headers.without(F.col("p"), F.col("t"))).collect()]
+    assert got == [brute_removal(*r) for r in rows]
 
 
 def test_header_rules(spark):
