@@ -16,12 +16,25 @@ def matched(a, b) -> int:
     return sum(size for _, _, size in SequenceMatcher(None, a, b).get_matching_blocks())
 
 
+def matched_ratio(a, b) -> float:
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def matched_percent(a, b) -> float:
+    """Percentage of a's items in matching blocks; 0 for an empty a."""
+    return 100.0 * matched(a, b) / len(a) if len(a) else 0.0
+
+
+def by_row(of, a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or y is None else of(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+
+
 def _ratios(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+    return by_row(matched_ratio, a, b)
 
 
 def _shares(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([None if x is None or y is None else 100.0 * matched(x, y) / len(x) if len(x) else 0.0 for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+    return by_row(matched_percent, a, b)
 
 
 def sm_ratio(a: Column, b: Column) -> Column:

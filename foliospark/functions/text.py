@@ -168,6 +168,35 @@ def media_type(path: Column) -> Column:
     return F.coalesce(*[F.when(end == k, F.lit(v)) for k, v in known.items()], F.lit("image/png"))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """A double of at most 2,000, not negative, to so many decimals as Python rounds it: by its exact binary value, ties to even.
+
+    The value is compared with the middle between both candidates as a whole number of 2^-52, so nothing is lost on the way.
+    """
+    scale = 10**digits
+    low = F.floor(value * scale)
+    twice = (value * F.lit(float(2**52))).cast("bigint").cast("decimal(20,0)") * F.lit(2 * scale)
+    middle = (2 * low + 1).cast("decimal(12,0)") * F.lit(2**52)
+    up = (twice > middle) | ((twice == middle) & (low % 2 == 1))
+    return (low + up.cast("int")).cast("double") / scale
+
+
+def url_part(text: Column) -> Column:
+    """A text as a part of an address: all but letters, digits and -_.* escaped, spaces too."""
+    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+
+
+def data_url(content: Column, media: Column) -> Column:
+    """Bytes as a base64 address of a media type."""
+    return F.concat(F.lit("data:"), media, F.lit(";base64,"), F.regexp_replace(F.base64(content), r"\s", ""))
+
+
+def document_name(source_file: Column, path: Column) -> Column:
+    """A document's name: the stem of its source file, or of the path of what was recognised; null if neither says anything."""
+    name = lambda c: F.nullif(stem(c), F.lit(""))
+    return F.coalesce(name(source_file), name(path))
+
+
 def elapsed_text(seconds: Column) -> Column:
     """Seconds as `Ns`, from a minute on as `Nm Ns`."""
     return F.when(seconds < 60, F.concat(seconds.cast("string"), F.lit("s"))).otherwise(F.concat(F.floor(seconds / 60).cast("string"), F.lit("m "), (seconds % 60).cast("string"), F.lit("s")))

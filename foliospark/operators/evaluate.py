@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.similarity import differences, matched_share
@@ -37,6 +37,26 @@ def missing(truth: DataFrame, found: DataFrame) -> DataFrame:
     return truth.select("doc", "path").distinct().join(found.select("doc", "path").distinct(), ["doc", "path"], "left_anti")
 
 
+def listed(rows: DataFrame, keys: list[str], item: str, most: int = 10) -> DataFrame:
+    """(keys, n, items): the number of distinct items of each group and the first of them in order, at most `most`.
+
+    Ranks are cut before items are gathered, so a group never gathers more than it shows.
+    """
+    order = Window.partitionBy(*keys).orderBy(item)
+    distinct = rows.select(*keys, item).distinct()
+    shown = distinct.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most)
+    counts = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(shown.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items")), keys)
+
+
+def outcomes(rows: DataFrame, keys: list[str], failed: Column, changes: Column) -> DataFrame:
+    """(keys, n, n_changed, n_skipped, n_failed, total, rate): how a batch went: rows that changed, had nothing to change, or failed; changes in all; rate of rows that didn't fail, in percent."""
+    bad, n = F.coalesce(failed, F.lit(False)), F.coalesce(changes, F.lit(0))
+    out = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~bad & (n > 0)).alias("n_changed"), F.count_if(~bad & (n <= 0)).alias("n_skipped"), F.count_if(bad).alias("n_failed"), F.sum(F.when(~bad, n).otherwise(0)).alias("total"))
+    return out.withColumn("rate", F.when(F.col("n") > 0, F.round((F.col("n") - F.col("n_failed")) / F.col("n") * 100, 4)).otherwise(0.0))
+
+
 def text_accuracy(pairs: DataFrame) -> DataFrame:
     """Character and word accuracy of `found` against `truth` in percent, with their counts. Null texts count as empty."""
     a, b = F.coalesce("truth", F.lit("")), F.coalesce("found", F.lit(""))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import is_heading_text
+from foliospark.functions.text import is_heading_text, rounded
 
 MAX_LEVELS = 6
 
@@ -26,7 +26,7 @@ def span_lines(spans: DataFrame) -> DataFrame:
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_no", "text"))), lambda s: s["text"]), " ")
     style = F.min_by(F.struct("size", "flags", "font", "color"), "span_no")
     lines = kept.groupBy("doc", "page", "page_height", "block_no", "line_no").agg(joined.alias("text"), style.alias("s"), F.first("line_bbox").alias("bbox"))
-    return lines.select("doc", "page", "page_height", "block_no", "line_no", "text", F.round("s.size", 2).alias("size"), "s.flags", "s.font", "s.color", F.get("bbox", F.lit(1)).alias("y0"))
+    return lines.select("doc", "page", "page_height", "block_no", "line_no", "text", rounded(F.col("s.size"), 2).alias("size"), "s.flags", "s.font", "s.color", F.get("bbox", F.lit(1)).alias("y0"))
 
 
 def candidates(lines: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def levelled(lines: DataFrame, min_size: float | None = None, max_levels: int =
         kept = kept.withColumn("threshold", F.lit(float(min_size)))
     size = F.col("size")
     big = (size >= F.col("threshold")) | (F.col("is_bold") & (size >= F.col("threshold") * 0.9))
-    kept = kept.where(big & F.col("is_bold") if bold_only else big).withColumn("style", F.round("size", 1))
+    kept = kept.where(big & F.col("is_bold") if bold_only else big).withColumn("style", rounded(F.col("size"), 1))
     styles = kept.groupBy("doc", "style", "is_bold").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("top"))
     styles = styles.withColumn("top", F.max("top").over(Window.partitionBy("doc"))).where((F.col("n") >= 2) | (F.col("style") >= F.col("top") * 0.9))
     rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("style"), F.desc("is_bold")))

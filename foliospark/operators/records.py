@@ -55,6 +55,17 @@ def added(rows: DataFrame, new: DataFrame) -> DataFrame:
     return rows.unionByName(new, allowMissingColumns=True)
 
 
+def keyed(rows: DataFrame, key: str = "id") -> DataFrame:
+    """Rows with a new random key each. Write them before use: a key is drawn anew whenever the plan runs."""
+    return rows.withColumn(key, F.uuid())
+
+
+def stamped(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows with columns set to the time of the query, without a zone, in UTC."""
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")
+    return rows.withColumns({c: now for c in columns})
+
+
 def updated(rows: DataFrame, where: Column, values: dict[str, Column]) -> DataFrame:
     """Rows with values set where a condition holds; rows for which it is null stay."""
     hit = F.coalesce(where, F.lit(False))

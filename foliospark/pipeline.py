@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,38 @@ from pyspark.sql import functions as F
 from foliospark.operators import code, figures, headers, headings, lines, ocr, tables
 
 
+#: Steps of a run, by number.
+STEPS = {1: "files", 2: "recognition", 3: "figures", 4: "raw texts", 5: "segments", 6: "page breaks", 7: "headers and footers", 8: "corrections", 9: "heading levels", 10: "list marks"}
+#: Steps that are skipped if their output is there.
+RESUMED = (1, 2, 3)
+
+
+@dataclass(frozen=True)
+class RunConfig:
+    """Where a run reads and writes, from which step on, and whether it goes on where an earlier one stopped."""
+
+    data_dir: str
+    start_from: int = 1
+    resume: bool = False
+
+    @classmethod
+    def resolved(cls, data_dir: str | None = None, environment: Mapping[str, str] | None = None, variable: str = "DATA_DIR", **options) -> RunConfig:
+        """A folder that was given, or else the one named in the environment; neither is an error."""
+        found = data_dir or (environment if environment is not None else os.environ).get(variable)
+        if not found:
+            raise ValueError(f"no data folder: give one or set {variable}")
+        return cls(found.rstrip("/"), **options)
+
+    def runs(self, step: int, done: bool = False) -> bool:
+        """Whether a step runs. done: its output is there."""
+        return step >= self.start_from and not (self.resume and done and step in RESUMED)
+
+
+def pending(documents: DataFrame, outputs: DataFrame, on: str = "doc") -> DataFrame:
+    """Documents that have no output yet: what a resumed run still has to do."""
+    return documents.join(outputs.select(on).distinct(), on, "left_anti")
+
+
 @dataclass
 class RefineOptions:
     """What is refined: segments (tab, code, fig, catalogue), from which step on, and the thresholds of matching."""

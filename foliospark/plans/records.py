@@ -126,4 +126,5 @@ def names_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     stem = lambda c: F.lower(text.stem(F.col(c)))
     files = recognition(spark, sf_dir, ["label"], ["rec_id", "source_file"]).where("source_file is not null and exists(pages, p -> exists(p.elements, e -> e is not null))").select(F.col("rec_id").alias("doc"), stem("source_file").alias("stem")).distinct()
     names = table(spark, sf_dir, "code_match").where("pdf_name is not null").select("match_id", stem("pdf_name").alias("stem"))
-    return names.join(files, "stem", "left").groupBy("match_id").agg(F.count("doc").alias("n_records"), F.min("doc").alias("first_record"))
+    by_stem = files.groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first_record"))  # one row for each stem, so no names meet many files
+    return names.join(by_stem, "stem", "left").select("match_id", F.coalesce("n", F.lit(0)).alias("n_records"), "first_record")

@@ -145,13 +145,6 @@ def header_lines_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.groupBy("doc", F.col("page_no").cast("bigint").alias("page_number")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).cast("bigint").alias("n_chars"))
 
 
-@query()
-def header_texts_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = elements(spark, sf_dir)
-    pages = lines.pages_of(lines.assembled(rows).withColumn("text", lines.numbered(F.col("text"))), "doc", "text")
-    return headers.removed(pages, headers.furniture(rows)).select("doc", "page_no", "removals", F.md5("content").alias("content_md5"))
-
-
 # correction of recognised lines
 
 CONTENTS = f"""(regexp_matches({stripped('text')}, '\\d+\\s*$') or regexp_matches(text, '(?i)^Table of Contents|\\.{{3,}}|on page \\d+|see page \\d+'))"""

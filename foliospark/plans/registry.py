@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliospark.plans import nested, records, refine
+from foliospark.plans import nested, pages, records, refine
 
-MODULES = [nested, refine, records]
+MODULES = [nested, refine, records, pages]
 
 
 def queries() -> dict:

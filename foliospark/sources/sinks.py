@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import suffix
@@ -10,9 +10,54 @@ from foliospark.functions.text import suffix
 FIGURE_SUFFIXES = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".webp")
 
 
-def write_texts(texts: DataFrame, folder: str, mode: str = "overwrite") -> None:
-    """Texts (doc, text) below folder/doc=<doc>/, one row each: Markdown, hierarchies, reports. mode `ignore` keeps what is there."""
-    texts.select("doc", F.col("text").alias("value")).repartition("doc").write.mode(mode).partitionBy("doc").option("lineSep", "\n").text(folder)
+#: Tables of documents are written in so many folders, by a hash of the document's name.
+BUCKETS = 64
+
+
+def bucketed(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Rows with the bucket of their document: the number of folders doesn't grow with that of documents."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int"))
+
+
+def write_texts(texts: DataFrame, folder: str, mode: str = "overwrite", buckets: int = BUCKETS) -> None:
+    """Texts (doc, text) as Parquet below folder/bucket=<k>/: Markdown, hierarchies, reports. mode `ignore` keeps what is there."""
+    bucketed(texts.select("doc", "text"), buckets).repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(folder)
+
+
+def read_texts(spark: SparkSession, folder: str, docs: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """(doc, text) as write_texts wrote them; of the named documents only their buckets are read."""
+    rows = spark.read.parquet(folder)
+    if docs is not None:
+        names = spark.createDataFrame([(d,) for d in docs], "doc string")
+        wanted = [r.bucket for r in bucketed(names, buckets).select("bucket").distinct().collect()]
+        rows = rows.where(F.col("bucket").isin(wanted) & F.col("doc").isin(docs))
+    return rows.select("doc", "text")
+
+
+def export_texts(texts: DataFrame, folder: str, suffix: str = ".md") -> DataFrame:
+    """Each text as a file of its own, folder/<doc><suffix>, where files are what is wanted; a file is written by the task that holds it. (doc, path) of the files.
+
+    For folders that all executors share. doc must be a plain file name.
+    """
+
+    def run(batches):
+        import os
+
+        import pandas as pd
+
+        for batch in batches:
+            paths = []
+            for doc, text in zip(batch["doc"], batch["text"]):
+                if os.path.basename(str(doc)) != str(doc):
+                    raise ValueError(f"not a file name: {doc}")
+                path = os.path.join(folder, f"{doc}{suffix}")
+                with open(path + ".part", "w", encoding="utf-8", newline="") as out:
+                    out.write(text or "")
+                os.replace(path + ".part", path)
+                paths.append(path)
+            yield pd.DataFrame({"doc": batch["doc"].astype(str), "path": paths})
+
+    return texts.select("doc", "text").mapInPandas(run, "doc string, path string")
 
 
 def with_backup(documents: DataFrame, column: str = "text") -> DataFrame:
@@ -20,9 +65,24 @@ def with_backup(documents: DataFrame, column: str = "text") -> DataFrame:
     return documents.withColumn("original", F.col(column))
 
 
-def write_raw_texts(spans: DataFrame, folder: str, force: bool = False) -> None:
-    """Raw page texts as a table by document; what is there stays unless it is forced."""
-    spans.write.mode("overwrite" if force else "ignore").partitionBy("doc").parquet(folder)
+def write_raw_texts(spans: DataFrame, folder: str, force: bool = False, buckets: int = BUCKETS) -> None:
+    """Raw page texts as a table by bucket of documents; what is there stays unless it is forced."""
+    bucketed(spans, buckets).repartition("bucket").write.mode("overwrite" if force else "ignore").partitionBy("bucket").parquet(folder)
+
+
+def raw_protocol(spans: DataFrame) -> DataFrame:
+    """(doc, text): spans in the line protocol of raw texts: pages, their size, blocks and their texts.
+
+    spans: doc, page, page_width, page_height, block_no, line_no, span_no, text. Blank spans are left out.
+    """
+    kept = spans.where(F.col("text").rlike(r"(?U)\S"))
+    rule = F.lit("-" * 50)
+    joined = lambda c: F.transform(F.array_sort(c), lambda x: x["text"])
+    blocks = kept.groupBy("doc", "page", "page_width", "page_height", "block_no").agg(joined(F.collect_list(F.struct("line_no", "span_no", F.concat(F.lit("    Text: "), F.col("text")).alias("text")))).alias("_lines"))
+    shown = F.concat_ws("\n", F.concat(F.lit("--- Block #"), F.col("block_no"), F.lit(" ---")), F.lit("Type: Text"), F.array_join("_lines", "\n"), rule)
+    pages = blocks.groupBy("doc", "page", "page_width", "page_height").agg(joined(F.collect_list(F.struct("block_no", shown.alias("text")))).alias("_blocks"))
+    page = F.concat_ws("\n", F.concat(F.lit("=== Page "), F.col("page"), F.lit(" ===")), F.concat(F.lit("Page Size: "), F.col("page_width"), F.lit(" x "), F.col("page_height")), F.array_join("_blocks", "\n"))
+    return pages.groupBy("doc").agg(F.array_join(joined(F.collect_list(F.struct("page", page.alias("text")))), "\n").alias("text"))
 
 
 def corrections_log(corrections: DataFrame) -> DataFrame:

@@ -21,30 +21,37 @@ def log_stream(spark: SparkSession, path: str, schema: str = "job_id string, ts
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def follow_job(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, timeout_ms: int) -> Iterator[pd.DataFrame]:
+    """The lines to show of one job's part of a batch, given whether it had ended. A job that had ended, by a line or by time, stays so."""
+    if state.hasTimedOut:
+        ended = state.exists and state.get[0]
+        state.update((True,))  # a late line of an ended job is not shown, whenever it comes
+        yield pd.DataFrame({"job_id": [] if ended else [key[0]], "line": [] if ended else [TIMED_OUT]})
+        return
+    ended = state.exists and state.get[0]
+    rows = pd.concat(list(batches)).sort_values(["ts", "received_at"], kind="stable")
+    out = []
+    for line in rows["line"] if not ended else ():
+        out.append(line)
+        if line in TERMINAL:
+            ended = True
+            break
+    state.update((bool(ended),))
+    if not ended:
+        state.setTimeoutDuration(timeout_ms)
+    yield pd.DataFrame({"job_id": [key[0]] * len(out), "line": out})
+
+
 def until_terminal(events: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame:
     """(job_id, line) of a stream, up to and with each job's terminal line; a job that is silent for too long ends with TIMED_OUT.
 
     Timeouts fire in batches without data, so a run that is to end with the available data has
-    spark.sql.streaming.noDataMicroBatches.enabled off. State is one flag for each job; lines are ordered within a batch by ts and received_at. Null jobs and lines are dropped.
+    spark.sql.streaming.noDataMicroBatches.enabled off. State is one flag for each job, kept when it ended; lines are ordered within a batch by ts and received_at, and a
+    batch is bounded by log_stream's files per trigger. Null jobs and lines are dropped.
     """
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            ended = state.exists and state.get[0]
-            state.remove()
-            yield pd.DataFrame({"job_id": [] if ended else [key[0]], "line": [] if ended else [TIMED_OUT]})
-            return
-        ended = state.exists and state.get[0]
-        rows = pd.concat(list(batches)).sort_values(["ts", "received_at"], kind="stable")
-        out = []
-        for line in rows["line"] if not ended else ():
-            out.append(line)
-            if line in TERMINAL:
-                ended = True
-                break
-        state.update((bool(ended),))
-        state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame({"job_id": [key[0]] * len(out), "line": out})
+        return follow_job(key, batches, state, timeout_ms)
 
     kept = events.where("job_id is not null and line is not null").select("job_id", "ts", "received_at", "line")
     return kept.groupBy("job_id").applyInPandasWithState(follow, "job_id string, line string", "ended boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -1,5 +1,6 @@
 import json
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from foliospark.operators import headings
@@ -43,8 +44,7 @@ def test_files(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     docs = spark.createDataFrame([("a", "x\n\ny"), ("b", "")], "doc string, text string")
     sinks.write_texts(docs, str(tmp_path / "out"))
-    back = files.whole_texts(spark, str(tmp_path / "out"), "*.txt").collect()
-    assert sorted(r.text.rstrip("\n") for r in back if r.text.strip()) == ["x\n\ny"]
+    assert sorted((r.doc, r.text) for r in sinks.read_texts(spark, str(tmp_path / "out")).collect()) == [("a", "x\n\ny"), ("b", "")]
     assert sinks.with_backup(docs).first().original == "x\n\ny"
     report = sinks.report_json(spark.createDataFrame([("a", 1, 0.5)], "doc string, n int, v double"), ["doc"]).first()
     assert json.loads(report.text) == {"n": 1, "v": 0.5}
@@ -67,3 +67,38 @@ def test_log_streams(spark, tmp_path):
     spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     steps = logs.steps_alive(logs.last_steps(df), F.timestamp_seconds(F.lit(86400 + 2)))
     assert {r.job_id for r in steps.collect()} == {"a", "b"}
+
+
+class State:
+    """A job's state as a stream keeps it."""
+
+    def __init__(self):
+        self.value, self.timeout, self.hasTimedOut = None, None, False
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value, self.timeout = value, None
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_ended_jobs_stay_ended():
+    """A job ends once, by its terminal line or by time; what comes later isn't shown, however late."""
+    def batch(*given):
+        return [pd.DataFrame({"ts": range(len(given)), "received_at": 0, "line": given})]
+
+    def step(state, batches, timed_out=False):
+        state.hasTimedOut = timed_out
+        out = [x for frame in logs.follow_job(("a",), iter(batches), state, 50) for x in frame["line"]]
+        state.hasTimedOut = False
+        return out
+
+    state = State()
+    assert step(state, batch("x", "y")) == ["x", "y"] and state.timeout == 50
+    assert step(state, batch("z", "__DONE__", "late")) == ["z", "__DONE__"] and state.timeout is None
+    assert step(state, batch("later")) == [] and state.value == (True,)
+    silent = State()
+    assert step(silent, batch("x")) == ["x"] and step(silent, [], True) == ["__TIMEOUT__"] and step(silent, batch("late")) == [] and step(silent, [], True) == []
