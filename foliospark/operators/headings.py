@@ -144,3 +144,20 @@ def relevelled(lines: DataFrame, levels: DataFrame) -> DataFrame:
     joined = marked.join(levels.select("doc", "title", "level"), ["doc", "title"], "left")
     new = F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("title"))
     return joined.select("doc", "line_no", F.when(F.col("level").isNotNull(), new).otherwise(F.col("line")).alias("line"), F.col("title").isNotNull().alias("is_heading"), F.col("level").isNotNull().alias("is_fixed"))
+
+
+def texts_relevelled(documents: DataFrame, levels: DataFrame) -> DataFrame:
+    """(doc, text, n_headings, n_fixed): documents with their headings rewritten as relevelled() does, without a row for each line.
+
+    documents: doc, text; levels: doc, title (unique in its document), level. A document's titles become one map beside its text:
+    the only shuffle is that of titles, and the texts' own to meet them.
+    """
+    known = levels.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("title", F.col("level").cast("int").alias("level")))).alias("_levels"))
+    found = r"(?U)^\s*(#{1,6})\s+(.+?)\s*$"
+    title = lambda x: F.when(F.regexp_replace(x, r"(?U)^\s+|\s+$", "").rlike(r"(?U)^(#{1,6})\s+(.+)$"), F.regexp_extract(x, found, 2))
+    level = lambda t: F.try_element_at(F.coalesce("_levels", F.create_map().cast("map<string,int>")), F.coalesce(t, F.lit("")))
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("line"), title(x).alias("title")))
+    marked = documents.join(known, "doc", "left").withColumn("_lines", lines)
+    marked = marked.withColumn("_lines", F.transform("_lines", lambda x: F.struct(x["line"].alias("line"), x["title"].alias("title"), F.when(x["title"].isNotNull(), level(x["title"])).alias("level"))))
+    new = F.transform("_lines", lambda x: F.when(x["level"].isNotNull(), F.concat(F.repeat(F.lit("#"), x["level"]), F.lit(" "), x["title"])).otherwise(x["line"]))
+    return marked.select("doc", F.array_join(new, "\n").alias("text"), F.size(F.filter("_lines", lambda x: x["title"].isNotNull())).alias("n_headings"), F.size(F.filter("_lines", lambda x: x["level"].isNotNull())).alias("n_fixed"))

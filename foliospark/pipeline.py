@@ -97,6 +97,6 @@ def refine(elements: DataFrame, documents: DataFrame | None = None, accurate: Da
         pages = ocr.corrected_pages(pages, ocr.corrections(best).join(many, "doc", "left_semi"))
     text = lines.joined_pages(pages)
     if opt.start_from <= 9 and hierarchy is not None:
-        text = lines.joined_lines(headings.relevelled(lines.lines_of(text, "doc", "text"), hierarchy))
+        text = headings.texts_relevelled(text, hierarchy).select("doc", "text")
     text = text.withColumn("text", lines.bullets(F.col("text")))
     return text.join(original, "doc")
