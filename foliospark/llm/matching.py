@@ -39,6 +39,8 @@ FLOOR_KNOWN = 0.5
 #: of tasks: an index is built once for each part of the queries.
 BLOCK_DOCUMENTS = 250_000
 PART_QUERIES = 200_000
+#: Texts with more documents together than this get the documents' scores by a pass over the attributes' postings, not from each document's own.
+OWN_DOCUMENTS = 2_000
 LEAST_TASKS = 6
 #: Postings that a query looks up before it takes its bar from what it found.
 LOOKED_UP = 256
@@ -55,7 +57,7 @@ MIN_CONFIDENCE = 0.5
 ATTRIBUTES = {"text": "string", "name": "string", "page": "int", "context": "string", "box": "array<double>", "score": "double"}
 #: Weights of FEATURES, fitted by fit() on the 4,000 pairs retrieved at the 0.1 scale for planted() queries of even number; the README has the reliability of the others.
 FEATURES = ["one", "overlap", "gap", "mutual", "name", "page", "context", "box", "score"]
-WEIGHTS = np.array([-37.815, 42.679, 1.061, 0.686, 0.68, 0.031, -1.449, 1.599, 0.373])
+WEIGHTS = np.array([-37.809, 42.695, 1.131, 0.579, 0.696, 0.019, -1.438, 1.622, 0.364])
 
 NUMBERED = re.compile(r"^\s*\d+ {2,}")
 CODE_SIGNS = re.compile(r"[_={}<>\[\]\\#%]|\);")
@@ -84,12 +86,18 @@ def name_words(name: str | None) -> list[str]:
     return TOKENS.findall(stem.lower())
 
 
-def terms(text: str, name: str | None, page: int | None, context: str | None) -> Counter:
-    """Terms of one side with their frequencies; text and context in their consistent form."""
+def code_terms(text: str) -> Counter:
+    """Terms of the code with their frequencies; text in its consistent form."""
     out: Counter[str] = Counter()
     for line in code_lines(text):
         words = TOKENS.findall(line.lower())
         out.update(f"{a} {b}" for a, b in zip(words, words[1:]))
+    return out
+
+
+def attribute_terms(name: str | None, page: int | None, context: str | None) -> Counter:
+    """Terms of the other attributes; context in its consistent form."""
+    out: Counter[str] = Counter()
     words = TOKENS.findall(context.lower()) if context else []
     for a, b in zip(words, words[1:]):
         out[f"c:{a} {b}"] += CONTEXT_WEIGHT
@@ -148,143 +156,204 @@ def score_given(score: float | None) -> float:
     return 0.5 if score is None or score != score else min(max(score / 100 if score > 1 else score, 0.0), 1.0)
 
 
+def hashed(bag: Counter) -> list[int]:
+    return [xxhash.xxh64_intdigest(t) - (1 << 63) for t in bag]
+
+
 def term_bags(rows: DataFrame, key: str) -> DataFrame:
-    """(key, t, tf, len, class): hashed terms of each row with columns key, text, name, page, context, and their frequencies; class: hash of the text. Blank texts have no terms."""
+    """(key, class, t, tf, len, at, atf): hashed terms of the code and of the other attributes of each row with columns key, text, name, page, context, with their frequencies.
+
+    class: hash of the text in its consistent form; len: number of the code's terms. Blank texts give no row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             given = zip(*(batch.column(c).to_pylist() for c in (key, "text", "name", "page", "context")))
             kept = [r for r in given if r[1] and not r[1].isspace()]
             texts, contexts = unify([r[1] for r in kept]), unify([r[4] or "" for r in kept])
-            bags = [terms(text, r[2], r[3], context) for r, text, context in zip(kept, texts, contexts)]
-            hashes = [[xxhash.xxh64_intdigest(t) - (1 << 63) for t in bag] for bag in bags]
+            code = [code_terms(t) for t in texts]
+            others = [attribute_terms(r[2], r[3], c) for r, c in zip(kept, contexts)]
+            longs, floats = pa.list_(pa.int64()), pa.list_(pa.float32())
             yield pa.record_batch({
-                key: pa.array([r[0] for r in kept], pa.string()), "t": pa.array(hashes, pa.list_(pa.int64())),
-                "tf": pa.array([list(bag.values()) for bag in bags], pa.list_(pa.float32())), "len": pa.array([sum(bag.values()) for bag in bags], pa.float32()), "class": pa.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in texts], pa.int64()),
+                key: pa.array([r[0] for r in kept], pa.string()), "class": pa.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in texts], pa.int64()),
+                "t": pa.array([hashed(x) for x in code], longs), "tf": pa.array([list(x.values()) for x in code], floats), "len": pa.array([sum(x.values()) for x in code], pa.float32()),
+                "at": pa.array([hashed(x) for x in others], longs), "atf": pa.array([list(x.values()) for x in others], floats),
             })
 
-    return rows.select(key, "text", "name", "page", "context").mapInArrow(run, f"{key} string, t array<bigint>, tf array<float>, len float, class bigint")
+    return rows.select(key, "text", "name", "page", "context").mapInArrow(run, f"{key} string, class bigint, t array<bigint>, tf array<float>, len float, at array<bigint>, atf array<float>")
 
 
-class Block:
-    """An inverted index of some documents, and the scores of queries against it."""
+class Postings:
+    """An inverted index: the owners of each term, in order, and each owner's terms."""
 
-    def __init__(self, ids: list[str], classes: np.ndarray, sizes: np.ndarray, t: np.ndarray, saturation: np.ndarray):
-        order = np.argsort(t, kind="stable")  # within a term the documents stay in order
-        self.ids, self.classes = ids, classes
-        self.own_first = np.concatenate(([0], np.cumsum(sizes)))  # each document's own postings, as they came
+    def __init__(self, sizes: np.ndarray, t: np.ndarray, saturation: np.ndarray):
+        order = np.argsort(t, kind="stable")
+        self.own_first = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
         self.own_saturation = saturation
         t = t[order]
-        self.first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, np.int64)
-        self.keys = t[self.first]
-        self.first = np.append(self.first, len(t))
-        self.doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)[order]
+        starts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, np.int64)
+        self.keys, self.first = t[starts], np.append(starts, len(t))
+        self.owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
         self.saturation = saturation[order]
-        self.scores = np.zeros(len(ids))
         self.own_place = np.empty(len(t), np.int32)
         self.own_place[order] = np.repeat(np.arange(len(self.keys), dtype=np.int32), np.diff(self.first)) if len(t) else 0
         self.weights = np.zeros(len(self.keys))
-
-    def full(self, docs: np.ndarray, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        """Full scores of documents for terms at places with weights, from the documents' own postings."""
-        size = self.own_first[docs + 1] - self.own_first[docs]
-        start = np.cumsum(size) - size
-        own = np.arange(size.sum()) + np.repeat(self.own_first[docs] - start, size)
-        self.weights[at] = idf
-        score = np.add.reduceat(self.weights[self.own_place[own]] * self.own_saturation[own], start)
-        self.weights[at] = 0.0
-        return score
+        self.scores = np.zeros(len(sizes))
 
     def places(self, t: np.ndarray) -> np.ndarray:
-        """The place of each term in the index, -1 for those that no document here has."""
+        """The place of each term in the index, -1 for those that no owner here has."""
         if not len(self.keys):
             return np.full(len(t), -1)
         at = np.minimum(np.searchsorted(self.keys, t), len(self.keys) - 1)
         return np.where(self.keys[at] == t, at, -1)
 
+    def look_up(self, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """Add the terms' contributions to their owners' scores; the owners, once for each term."""
+        spans = [(self.first[a], self.first[a + 1]) for a in at]
+        owners = np.concatenate([self.owner[a:b] for a, b in spans]) if spans else np.zeros(0, np.int32)
+        if len(owners):
+            np.add.at(self.scores, owners, np.concatenate([w * self.saturation[a:b] for w, (a, b) in zip(idf, spans)]))
+        return owners
+
+    def full(self, owners: np.ndarray, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """Full scores of owners for terms at places with weights, from the owners' own postings."""
+        size = self.own_first[owners + 1] - self.own_first[owners]
+        score, some = np.zeros(len(owners)), size > 0
+        size, begin = size[some], self.own_first[owners[some]]
+        if len(size):
+            start = np.cumsum(size) - size
+            own = np.arange(size.sum()) + np.repeat(begin - start, size)
+            self.weights[at] = idf
+            score[some] = np.add.reduceat(self.weights[self.own_place[own]] * self.own_saturation[own], start)
+            self.weights[at] = 0.0
+        return score
+
+
+class Block:
+    """The distinct texts (classes) of some documents and the documents' other attributes, both indexed, and the scores of queries against them.
+
+    A document's score is that of its text and that of its attributes; however many documents have one text, its terms are
+    indexed and looked up once, and of its documents the one whose attributes fit best stands for it.
+    """
+
+    def __init__(self, code: Postings, attributes: Postings, ids: list[str], of: np.ndarray):
+        """ids, of: the documents in order of their class and id, and the class of each; every class has a document."""
+        self.code, self.attributes, self.ids, self.of = code, attributes, ids, of
+        self.docs_first = np.searchsorted(of, np.arange(len(code.scores) + 1))
+
     @staticmethod
     def bar(scores: np.ndarray) -> float:
-        """What a document must reach to be compared: the second best score, or 1 - MARGIN of the best if that is less."""
+        """What a text must reach to be compared: the second best score, or 1 - MARGIN of the best if that is less."""
         if len(scores) < 2:
             return 0.0
         second, first = np.partition(scores, -2)[-2:]
         return float(min(second, (1 - MARGIN) * first))
 
-    def best(self, at: np.ndarray, idf: np.ndarray, most: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, full scores) of those that reach the floor and the bar, of equal texts the best one.
+    def scored(self, classes: np.ndarray, terms: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, seen: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(best document, full score) of each class. terms: places and weights of code and attributes; left: which attributes weren't looked up yet."""
+        code = self.code.full(classes, *terms[0])
+        size = self.docs_first[classes + 1] - self.docs_first[classes]
+        start = np.cumsum(size) - size
+        docs = np.arange(size.sum()) + np.repeat(self.docs_first[classes] - start, size)
+        if len(docs) <= OWN_DOCUMENTS:
+            other = self.attributes.full(docs, *terms[1])
+        else:
+            at, idf = terms[1]
+            seen.append(self.attributes.look_up(at[left], idf[left]))
+            left[:] = False
+            other = self.attributes.scores[docs]
+        other = np.round(other, 9)
+        most = np.maximum.reduceat(other, start)
+        firsts = np.flatnonzero(other == np.repeat(most, size))
+        of = np.repeat(np.arange(len(classes)), size)[firsts]
+        return docs[firsts[np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))]], np.round(code + most, 9)
+
+    def best(self, t: np.ndarray, idf: np.ndarray, most: np.ndarray, code: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, full scores), one for each text that reaches the floor and the bar.
 
         Terms are looked up from the one that can add most, until the rest of them can't lift another document to the bar.
         """
+        at = np.where(code, self.code.places(t), self.attributes.places(t))
         kept = at >= 0
-        at, idf, most = at[kept], idf[kept], most[kept]
+        at, idf, most, code = at[kept], idf[kept], most[kept], code[kept]
         order = np.argsort(-idf * most, kind="stable")
-        at, idf, most = at[order], idf[order], most[order]
+        at, idf, most, code = at[order], idf[order], most[order], code[order]
         rest = np.append(np.cumsum((idf * most)[::-1])[::-1], 0.0) * (1 + 1e-9)
-        start, end = self.first[at], self.first[at + 1]
-        hits = np.cumsum(end - start)
-        touched, bar, k, first, second = [], floor, 0, None, 0.0
+        sizes = np.empty(len(at), np.int64)
+        for index, own in ((self.code, code), (self.attributes, ~code)):
+            sizes[own] = index.first[at[own] + 1] - index.first[at[own]]
+        hits = np.cumsum(sizes)
+        texts, docs, bar, k, first, second, looked_up = [], [], floor, 0, -1, 0.0, 0
         while k < len(at) and rest[k] >= bar:
-            more = max(k + 1, int(np.searchsorted(hits, 4 * sum(map(len, touched)) + LOOKED_UP, "right")))
+            more = max(k + 1, int(np.searchsorted(hits, 4 * looked_up + LOOKED_UP, "right")))
             more = min(more, int(np.count_nonzero(rest[:-1] >= bar)))
-            docs = np.concatenate([self.doc[a:b] for a, b in zip(start[k:more], end[k:more])])
-            np.add.at(self.scores, docs, np.concatenate([w * self.saturation[a:b] for w, a, b in zip(idf[k:more], start[k:more], end[k:more])]))
-            touched.append(docs)
-            k = more
-            values = self.scores[docs]
-            best = docs[values.argmax()]
-            if first is None or self.scores[best] >= self.scores[first]:
-                first = best
-            second = max(second, values.max(where=docs != first, initial=0.0))
-            bar = max(bar, min(second, (1 - MARGIN) * self.scores[first]))
-        if not touched:
-            return np.zeros(0, np.int64), np.zeros(0)
-        touched = np.concatenate(touched)
-        score = self.scores[touched]
-        found, at_first = np.unique(touched[score + rest[k] >= bar - 1e-9], return_index=True)
-        score = score[score + rest[k] >= bar - 1e-9][at_first]
-        self.scores[touched] = 0.0
-        if k < len(at) and len(found) > LIKELIEST:  # full scores of the likeliest raise the bar for the others
-            bar = max(bar, self.bar(self.full(found[np.argpartition(score, -LIKELIEST)[-LIKELIEST:]], at, idf)))
-            kept = score + rest[k] >= bar - 1e-9
-            found, score = found[kept], score[kept]
-        if len(found):
-            if k < len(at):
-                score = self.full(found, at, idf)
-            kept = score >= max(floor, self.bar(score)) - 1e-9
-            found, score = found[kept], score[kept]
-            if len(found) > 1:
-                order = np.lexsort((found, -np.round(score, 9)))
-                first = np.sort(np.unique(self.classes[found[order]], return_index=True)[1])
-                found, score = found[order[first]], score[order[first]]
-        return found, np.round(score, 9)
+            own = code[k:more]
+            texts.append(self.code.look_up(at[k:more][own], idf[k:more][own]))
+            docs.append(self.attributes.look_up(at[k:more][~own], idf[k:more][~own]))
+            k, looked_up = more, hits[more - 1]
+            classes, value = self.partial(texts[-1], docs[-1])
+            if len(value):
+                top = value.argmax()
+                if first < 0 or value[top] >= self.code.scores[first]:
+                    first = classes[top]
+                second = max(second, value.max(where=classes != first, initial=0.0))
+                bar = max(bar, min(second, (1 - MARGIN) * value[top]))
+        found, score = np.zeros(0, np.int64), np.zeros(0)
+        if texts:
+            classes, value = self.partial(np.concatenate(texts), np.concatenate(docs))
+            kept = value + rest[k] >= bar - 1e-9
+            candidates, inverse = np.unique(classes[kept], return_inverse=True)
+            likely = np.zeros(len(candidates))
+            np.maximum.at(likely, inverse, value[kept])
+            terms = [(at[code], idf[code]), (at[~code], idf[~code])]
+            left = (np.arange(len(at)) >= k)[~code]
+            if len(candidates) > LIKELIEST:  # full scores of the likeliest raise the bar for the others
+                bar = max(bar, self.bar(self.scored(np.sort(candidates[np.argpartition(likely, -LIKELIEST)[-LIKELIEST:]]), terms, left, docs)[1]))
+                candidates = candidates[likely + rest[k] >= bar - 1e-9]
+            if len(candidates):
+                found, score = self.scored(candidates, terms, left, docs)
+                kept = score >= max(floor, self.bar(score)) - 1e-9
+                found, score = found[kept], score[kept]
+            self.code.scores[np.concatenate(texts)] = 0.0
+            self.attributes.scores[np.concatenate(docs)] = 0.0
+        return found, score
+
+    def partial(self, texts: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(classes, values): what is known so far of classes that were touched by their text or by a document of theirs."""
+        of = self.of[docs]
+        return np.concatenate((texts, of)), np.concatenate((self.code.scores[texts], self.code.scores[of] + self.attributes.scores[docs]))
+
+
+#: Rows that a task gets, in this order.
+TEXTS, DOCUMENTS, QUERIES = range(3)
 
 
 def block_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(q, d, score) from rows (task, query, id, class, t, saturation, idf, most, floor) sorted by the first two: documents are indexed, queries stream by."""
-    block, number, waiting = None, None, []
+    """(q, d, score) from rows (task, kind, id, class, t, saturation, idf, most, code, floor) sorted by task, kind, class and id: texts and documents are indexed, queries stream by."""
+    block, task, waiting = None, None, {TEXTS: [], DOCUMENTS: []}
+    flat = lambda column: pc.list_flatten(column).to_numpy(zero_copy_only=False)
     for batch in batches:
-        runs = pc.add(pc.multiply(batch.column("task"), 2), pc.cast(batch.column("query"), pa.int32())).to_numpy(zero_copy_only=False)
+        runs = pc.add(pc.multiply(batch.column("task"), 3), batch.column("kind")).to_numpy(zero_copy_only=False)
         bounds = np.flatnonzero(np.concatenate(([True], runs[1:] != runs[:-1], [True]))) if len(runs) else []
         for a, b in zip(bounds[:-1], bounds[1:]):
-            rows = batch.slice(a, b - a)
-            if number != runs[a] // 2:
-                number, block, waiting = runs[a] // 2, None, []
-            if not runs[a] % 2:
-                waiting.append(rows)
+            rows, kind = batch.slice(a, b - a), int(runs[a] % 3)
+            if task != runs[a] // 3:
+                task, block, waiting = runs[a] // 3, None, {TEXTS: [], DOCUMENTS: []}
+            if kind != QUERIES:
+                waiting[kind].append(rows)
                 continue
             if block is None:
-                if not waiting:
+                if not waiting[TEXTS]:
                     continue
-                columns = pa.Table.from_batches(waiting)
-                lists = columns.column("t").combine_chunks()
-                block = Block(columns.column("id").to_pylist(), columns.column("class").to_numpy(), pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy(), columns.column("saturation").combine_chunks().flatten().to_numpy())
-                waiting = []
-            at = block.places(rows.column("t").flatten().to_numpy())
-            idf, most = (rows.column(c).flatten().to_numpy() for c in ("idf", "most"))
+                texts, docs = (pa.Table.from_batches(waiting[k]).combine_chunks() for k in (TEXTS, DOCUMENTS))
+                index = [Postings(pc.list_value_length(x.column("t")).to_numpy(), flat(x.column("t").combine_chunks()), flat(x.column("saturation").combine_chunks())) for x in (texts, docs)]
+                block = Block(*index, docs.column("id").to_pylist(), np.searchsorted(texts.column("class").to_numpy(), docs.column("class").to_numpy()))
+                waiting = {TEXTS: [], DOCUMENTS: []}
+            t, idf, most, code = (flat(rows.column(c)) for c in ("t", "idf", "most", "code"))
             ends = np.cumsum(pc.list_value_length(rows.column("t")).to_numpy())
             qs, ds, scores = [], [], []
             for q, floor, i, j in zip(rows.column("id").to_pylist(), rows.column("floor").to_pylist(), np.append(0, ends[:-1]), ends):
-                docs, score = block.best(at[i:j], idf[i:j], most[i:j], floor)
+                docs, score = block.best(t[i:j], idf[i:j], most[i:j], code[i:j], floor)
                 qs += [q] * len(docs)
                 ds += [block.ids[x] for x in docs]
                 scores.append(score)
@@ -292,37 +361,48 @@ def block_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def retrieve(queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """(q, d, score): for each query the documents of its best BM25 scores, of equal texts the best (of equals the first by d).
+    """(q, d, score): for each query the documents of its best scores, of equal texts the best (of equals the first by d).
 
-    queries: q, text, name, page, context; documents: d and the same. All documents that can reach the floor are scored, with all
-    terms however common. Documents are dealt into blocks and queries into parts: a task indexes a block, and a part passes by.
+    queries: q, text, name, page, context; documents: d and the same. The score is BM25 of the code, its terms weighed
+    against the distinct texts, and of the other attributes, weighed against the documents. All documents that can reach the
+    floor are scored, with all terms however common. Documents are dealt into blocks by their key, so that those of one
+    text spread too, and queries into parts: a task indexes a block, and a part passes by.
     """
     bags = materialize(term_bags(documents, "d"))
-    stats = bags.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()
-    n, mean = stats["n"] or 0, stats["mean"] or 1.0
+    texts = materialize(bags.select("class", "t", "tf", "len").dropDuplicates(["class"]))
+    n, n_texts, mean = bags.count(), texts.count(), texts.agg(F.avg("len")).first()[0] or 1.0
     if not n:
         return queries.sparkSession.createDataFrame([], "q string, d string, score double")
-    saturation = F.transform("tf", lambda tf: (tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / mean))).cast("float"))
-    weighed = bags.select("d", "class", "t", saturation.alias("saturation"))
-    idf = lambda df: F.log((F.lit(n) + 1.0) / (df + 0.5))
+    saturated = lambda size: lambda tf: (tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))).cast("float")
+    weighed = texts.select("class", "t", F.transform("tf", saturated(F.col("len"))).alias("saturation"))
+    documents = bags.select("d", "class", F.col("at").alias("t"), F.transform("atf", saturated(F.lit(mean))).alias("saturation"))
+    idf = lambda of: F.log((F.lit(of) + 1.0) / (F.count(F.lit(1)) + 0.5)).alias("idf")
     rarest = float(np.log((n + 1) / 1.5))
-    postings = weighed.select(F.explode(F.arrays_zip("t", "saturation")).alias("x")).select("x.*")
-    weight = postings.groupBy("t").agg(idf(F.count(F.lit(1))).alias("idf"), F.max("saturation").alias("most"))
-    asked = term_bags(queries, "q").select("q", F.explode(F.arrays_zip("t", "tf")).alias("x")).select("q", "x.t", F.least("x.tf", F.lit(1.0)).alias("w")).join(weight, "t", "left")
-    known = F.array_sort(F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("t", "idf", "most"))))
+
+    def weights(rows: DataFrame, of: int, code: bool) -> DataFrame:
+        postings = rows.select(F.explode(F.arrays_zip("t", "saturation")).alias("x")).select("x.*")
+        return postings.groupBy("t").agg(idf(of), F.max("saturation").alias("most")).withColumn("code", F.lit(code))
+
+    weight = weights(weighed, n_texts, True).unionByName(weights(documents, n, False))
+    pairs = F.concat(F.arrays_zip("t", "tf"), F.transform(F.arrays_zip("at", "atf"), lambda x: F.struct(x["at"].alias("t"), x["atf"].alias("tf"))))
+    asked = term_bags(queries, "q").select("q", F.explode(pairs).alias("x")).select("q", "x.t", F.least("x.tf", F.lit(1.0)).alias("w")).join(weight, "t", "left")
+    known = F.array_sort(F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("t", "idf", "most", "code"))))
     asked = asked.groupBy("q").agg(F.sum(F.col("w") * F.coalesce("idf", F.lit(rarest))).alias("total"), F.sum(F.col("w") * F.col("idf")).alias("known"), known.alias("bag"))
     # a copy reaches the floor even if all its terms are common
     floor = F.least(F.greatest(FLOOR_SHARE * F.col("total"), F.lit(FLOOR_TERMS * rarest)), FLOOR_KNOWN * F.col("known"))
-    asked = asked.where("known > 0").select("q", F.col("bag.t").alias("t"), F.col("bag.idf").alias("idf"), F.col("bag.most").alias("most"), floor.alias("floor"))
+    asked = asked.where("known > 0").select("q", *[F.col(f"bag.{c}").alias(c) for c in ("t", "idf", "most", "code")], floor.alias("floor"))
     blocks = -(-n // BLOCK_DOCUMENTS)
     parts = max(-(-queries.select("q").count() // PART_QUERIES), -(-LEAST_TASKS // blocks))
     none = lambda kind: F.lit(None).cast(kind)
     each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     place = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
-    left = weighed.select(place("d", blocks).alias("block"), each(parts).alias("part"), F.lit(False).alias("query"), F.col("d").alias("id"), "class", "t", "saturation", none("array<double>").alias("idf"), none("array<float>").alias("most"), none("double").alias("floor"))
-    right = asked.select(each(blocks).alias("block"), place("q", parts).alias("part"), F.lit(True).alias("query"), F.col("q").alias("id"), none("bigint").alias("class"), "t", none("array<float>").alias("saturation"), "idf", "most", "floor")
-    dealt = left.unionByName(right).withColumn("task", F.col("block") * parts + F.col("part")).drop("block", "part")
-    dealt = dealt.repartitionById(blocks * parts, F.col("task")).sortWithinPartitions("task", "query", F.when(~F.col("query"), F.col("id")))
+    asks = [none("array<double>").alias("idf"), none("array<float>").alias("most"), none("array<boolean>").alias("code"), none("double").alias("floor")]
+    there = bags.select("class", place("d", blocks).alias("block")).distinct()
+    first = weighed.join(there, "class").select("block", each(parts).alias("part"), F.lit(TEXTS).alias("kind"), none("string").alias("id"), "class", "t", "saturation", *asks)
+    then = documents.select(place("d", blocks).alias("block"), each(parts).alias("part"), F.lit(DOCUMENTS).alias("kind"), F.col("d").alias("id"), "class", "t", "saturation", *asks)
+    last = asked.select(each(blocks).alias("block"), place("q", parts).alias("part"), F.lit(QUERIES).alias("kind"), F.col("q").alias("id"), none("bigint").alias("class"), "t", none("array<float>").alias("saturation"), "idf", "most", "code", "floor")
+    dealt = first.unionByName(then).unionByName(last).withColumn("task", F.col("block") * parts + F.col("part")).drop("block", "part")
+    dealt = dealt.repartitionById(blocks * parts, F.col("task")).sortWithinPartitions("task", "kind", "class", "id")
     full = dealt.mapInArrow(block_scores, "q string, d string, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "d")
     ranked = full.withColumns({"rank": F.row_number().over(best), "top": F.first("score").over(best)})

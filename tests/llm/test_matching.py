@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -118,25 +119,44 @@ def test_planted_pairs_are_calibrated(spark):
     assert table[-1][1] > 0.97 and table[0][1] < 0.03 and sum(n for _, _, n in table) == len(rows)
 
 
-def test_block_scores():
-    """Pruned scores are those of looking up everything."""
+def test_block_scores(monkeypatch):
+    """Pruned scores are those of looking up everything, whether the documents of a text are few or many."""
     rng = np.random.default_rng(3)
-    bags = [np.unique(np.minimum(rng.zipf(1.3, 30), 400)) for _ in range(300)]
-    bags += bags[:40]  # equal texts under other ids
-    sat = [rng.uniform(0.5, 2.2, len(b)).astype("float32") for b in bags]
-    classes = np.array([*range(300), *range(40)])
-    block = matching.Block([str(i) for i in range(340)], classes, np.array([len(b) for b in bags]), np.concatenate(bags), np.concatenate(sat))
-    for _ in range(60):
-        t = np.unique(np.minimum(rng.zipf(1.3, 25), 450))
-        idf = np.array([np.log(341 / (sum(x in b for b in bags) + 0.5)) for x in t])
-        most = np.array([max([s[b == x][0] for b, s in zip(bags, sat) if x in b], default=0) for x in t], "float32")
-        floor = float(rng.uniform(0.5, 8))
-        full = np.array([sum(w * s[b == x][0] for x, w in zip(t, idf) if x in b) for b, s in zip(bags, sat)])
-        docs, scores = block.best(block.places(t), idf, most, floor)
-        second, first = np.sort(full)[-2:]
-        wanted = np.flatnonzero(full >= max(floor, min(second, (1 - matching.MARGIN) * first)) - 1e-9)
-        best = {}
-        for i in wanted:
-            if classes[i] not in best or full[i] > full[best[classes[i]]]:
-                best[classes[i]] = i
-        assert set(docs) == set(best.values()) and np.allclose(scores, full[docs])
+    draw = lambda n, most: [np.unique(np.minimum(rng.zipf(1.3, k), most)) for k in rng.integers(0, 30, n)]
+    code, of = draw(200, 300), np.sort(np.concatenate((np.arange(200), rng.integers(0, 12, 150))))
+    other = [1000 + x for x in draw(350, 60)]
+    sat = lambda bags: [rng.uniform(0.3, 2.2, len(b)).astype("float32") for b in bags]
+    code_sat, other_sat = sat(code), sat(other)
+    index = lambda bags, sats: matching.Postings(np.array([len(b) for b in bags]), np.concatenate(bags), np.concatenate(sats))
+    block = matching.Block(index(code, code_sat), index(other, other_sat), [str(i) for i in range(350)], of)
+    look = lambda bags, sats, x: np.array([s[b == x][0] if x in b else 0.0 for b, s in zip(bags, sats)])
+    for own in (0, 2_000):
+        monkeypatch.setattr(matching, "OWN_DOCUMENTS", own)
+        for _ in range(60):
+            t = np.concatenate((np.unique(np.minimum(rng.zipf(1.3, 25), 330)), 1000 + np.unique(np.minimum(rng.zipf(1.3, 8), 70))))
+            is_code, idf = t < 1000, rng.uniform(0.2, 6, len(t))
+            each = [look(code, code_sat, x) if c else look(other, other_sat, x) for x, c in zip(t, is_code)]
+            most, floor = np.array([e.max() for e in each], "float32"), float(rng.uniform(0.5, 12))
+            full = sum((w * e for w, e, c in zip(idf, each, is_code) if c), np.zeros(200))[of] + sum((w * e for w, e, c in zip(idf, each, is_code) if not c), np.zeros(350))
+            best = {c: max(np.flatnonzero(of == c), key=lambda i: (round(full[i], 9), -i)) for c in range(200)}
+            top = np.sort([full[i] for i in best.values()])[-2:]
+            wanted = {i for i in best.values() if full[i] >= max(floor, min(top[0], (1 - matching.MARGIN) * top[1])) - 1e-9}
+            docs, scores = block.best(t, idf, most, is_code, floor)
+            assert set(docs) == wanted and np.allclose(scores, full[docs])
+            assert not block.code.scores.any() and not block.attributes.scores.any()
+
+
+def test_a_third_are_copies():
+    """Queries of one text with very many copies cost no pass over the copies' code."""
+    n = 60_000
+    of = np.concatenate((np.zeros(n // 3, np.int64), np.arange(1, 2 * n // 3 + 1)))
+    code = [np.arange(40)] + [np.array([100 + i, 200_000 + i % 977]) for i in range(2 * n // 3)]
+    ones = lambda bags: np.ones(sum(map(len, bags)), "float32")
+    names = [np.array([10**6 + i]) for i in range(n)]
+    block = matching.Block(matching.Postings(np.array([len(b) for b in code]), np.concatenate(code), ones(code)), matching.Postings(np.ones(n, np.int64), np.concatenate(names), ones(names)), [str(i) for i in range(n)], of)
+    start = time.time()
+    for i in range(300):
+        t = np.append(np.arange(40), 10**6 + i)
+        docs, _ = block.best(t, np.full(41, 9.0), np.ones(41, "float32"), t < 1000, 5.0)
+        assert list(docs) == [i]
+    assert time.time() - start < 5
