@@ -43,7 +43,7 @@ PART_QUERIES = 200_000
 OWN_DOCUMENTS = 2_000
 LEAST_TASKS = 6
 #: Postings that a query looks up before it takes its bar from what it found.
-LOOKED_UP = 256
+LOOKED_UP = 1024
 #: Documents that are scored in full first, to raise the bar.
 LIKELIEST = 16
 #: What an occurrence in the context counts, beside one in the code (BM25F).
@@ -328,9 +328,38 @@ class Block:
 TEXTS, DOCUMENTS, QUERIES = range(3)
 
 
+def packed(rows: DataFrame, kind: int) -> DataFrame:
+    """(block, kind, pack): rows with a block, packed: an index is read whole by several tasks, so its rows travel in batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column("block").to_numpy(zero_copy_only=False)
+            for k in np.unique(block):
+                part = batch.filter(pa.array(block == k)).drop_columns(["block"])
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, part.schema) as stream:
+                    stream.write_batch(part)
+                yield pa.record_batch({"block": pa.array([k], pa.int32()), "kind": pa.array([kind], pa.int32()), "pack": pa.array([out.getvalue().to_pybytes()], pa.binary())})
+
+    return rows.mapInArrow(run, "block int, kind int, pack binary")
+
+
+def unpacked(packs: list[bytes]) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in packs]).combine_chunks()
+
+
+def indexed(packs: dict[int, list[bytes]]) -> Block:
+    """A block's index from its packed texts and documents, in order of class and id."""
+    texts, docs = (unpacked(packs[k]) for k in (TEXTS, DOCUMENTS))
+    texts, docs = texts.sort_by("class"), docs.sort_by([("class", "ascending"), ("d", "ascending")])
+    flat = lambda column: pc.list_flatten(column.combine_chunks()).to_numpy(zero_copy_only=False)
+    postings = [Postings(pc.list_value_length(x.column("t")).to_numpy(), flat(x.column("t")), flat(x.column("saturation"))) for x in (texts, docs)]
+    return Block(*postings, docs.column("d").to_pylist(), np.searchsorted(texts.column("class").to_numpy(), docs.column("class").to_numpy()))
+
+
 def block_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(q, d, score) from rows (task, kind, id, class, t, saturation, idf, most, code, floor) sorted by task, kind, class and id: texts and documents are indexed, queries stream by."""
-    block, task, waiting = None, None, {TEXTS: [], DOCUMENTS: []}
+    """(q, d, score) from rows (task, kind, pack, q, t, idf, most, code, floor) sorted by task and kind: texts and documents are indexed, queries stream by."""
+    block, task, packs = None, None, {TEXTS: [], DOCUMENTS: []}
     flat = lambda column: pc.list_flatten(column).to_numpy(zero_copy_only=False)
     for batch in batches:
         runs = pc.add(pc.multiply(batch.column("task"), 3), batch.column("kind")).to_numpy(zero_copy_only=False)
@@ -338,21 +367,18 @@ def block_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(bounds[:-1], bounds[1:]):
             rows, kind = batch.slice(a, b - a), int(runs[a] % 3)
             if task != runs[a] // 3:
-                task, block, waiting = runs[a] // 3, None, {TEXTS: [], DOCUMENTS: []}
+                task, block, packs = runs[a] // 3, None, {TEXTS: [], DOCUMENTS: []}
             if kind != QUERIES:
-                waiting[kind].append(rows)
+                packs[kind] += rows.column("pack").to_pylist()
                 continue
             if block is None:
-                if not waiting[TEXTS]:
+                if not packs[TEXTS]:
                     continue
-                texts, docs = (pa.Table.from_batches(waiting[k]).combine_chunks() for k in (TEXTS, DOCUMENTS))
-                index = [Postings(pc.list_value_length(x.column("t")).to_numpy(), flat(x.column("t").combine_chunks()), flat(x.column("saturation").combine_chunks())) for x in (texts, docs)]
-                block = Block(*index, docs.column("id").to_pylist(), np.searchsorted(texts.column("class").to_numpy(), docs.column("class").to_numpy()))
-                waiting = {TEXTS: [], DOCUMENTS: []}
+                block, packs = indexed(packs), {TEXTS: [], DOCUMENTS: []}
             t, idf, most, code = (flat(rows.column(c)) for c in ("t", "idf", "most", "code"))
             ends = np.cumsum(pc.list_value_length(rows.column("t")).to_numpy())
             qs, ds, scores = [], [], []
-            for q, floor, i, j in zip(rows.column("id").to_pylist(), rows.column("floor").to_pylist(), np.append(0, ends[:-1]), ends):
+            for q, floor, i, j in zip(rows.column("q").to_pylist(), rows.column("floor").to_pylist(), np.append(0, ends[:-1]), ends):
                 docs, score = block.best(t[i:j], idf[i:j], most[i:j], code[i:j], floor)
                 qs += [q] * len(docs)
                 ds += [block.ids[x] for x in docs]
@@ -396,13 +422,13 @@ def retrieve(queries: DataFrame, documents: DataFrame) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     place = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
-    asks = [none("array<double>").alias("idf"), none("array<float>").alias("most"), none("array<boolean>").alias("code"), none("double").alias("floor")]
     there = bags.select("class", place("d", blocks).alias("block")).distinct()
-    first = weighed.join(there, "class").select("block", each(parts).alias("part"), F.lit(TEXTS).alias("kind"), none("string").alias("id"), "class", "t", "saturation", *asks)
-    then = documents.select(place("d", blocks).alias("block"), each(parts).alias("part"), F.lit(DOCUMENTS).alias("kind"), F.col("d").alias("id"), "class", "t", "saturation", *asks)
-    last = asked.select(each(blocks).alias("block"), place("q", parts).alias("part"), F.lit(QUERIES).alias("kind"), F.col("q").alias("id"), none("bigint").alias("class"), "t", none("array<float>").alias("saturation"), "idf", "most", "code", "floor")
-    dealt = first.unionByName(then).unionByName(last).withColumn("task", F.col("block") * parts + F.col("part")).drop("block", "part")
-    dealt = dealt.repartitionById(blocks * parts, F.col("task")).sortWithinPartitions("task", "kind", "class", "id")
+    index = packed(weighed.join(there, "class").select("block", "class", "t", "saturation"), TEXTS).unionByName(packed(documents.select(place("d", blocks).alias("block"), "class", "d", "t", "saturation"), DOCUMENTS))
+    asks = {"q": "string", "t": "array<bigint>", "idf": "array<double>", "most": "array<float>", "code": "array<boolean>", "floor": "double"}
+    first = index.select("block", each(parts).alias("part"), "kind", "pack", *[none(t).alias(c) for c, t in asks.items()])
+    last = asked.select(each(blocks).alias("block"), place("q", parts).alias("part"), F.lit(QUERIES).alias("kind"), none("binary").alias("pack"), *asks)
+    dealt = first.unionByName(last).withColumn("task", F.col("block") * parts + F.col("part")).drop("block", "part")
+    dealt = dealt.repartitionById(blocks * parts, F.col("task")).sortWithinPartitions("task", "kind")
     full = dealt.mapInArrow(block_scores, "q string, d string, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "d")
     ranked = full.withColumns({"rank": F.row_number().over(best), "top": F.first("score").over(best)})
@@ -423,8 +449,9 @@ def measured_pairs(pairs: DataFrame, queries: DataFrame, documents: DataFrame) -
         for batch in batches:
             col = {c: batch.column(c).to_pylist() for c in batch.schema.names}
             pair = lambda of, c: [of(a, b) for a, b in zip(col[f"q_{c}"], col[f"d_{c}"])]
-            left = [squeezed(code_lines(t)) for t in unify(col["q_text"])]
-            right = [squeezed(code_lines(t)) for t in unify(col["d_text"])]
+            known = sorted({*col["q_text"], *col["d_text"]})
+            form = {t: squeezed(code_lines(u)) for t, u in zip(known, unify(known))}
+            left, right = ([form[t] for t in col[c]] for c in ("q_text", "d_text"))
             same = [overlap(a, b) / len(a) if a else 0.0 for a, b in zip(left, right)]
             page = pair(lambda a, b: 0.5 if a is None or b is None else float(a == b), "page")
             given = [score_given(v) for v in col["q_score"]]

@@ -32,6 +32,10 @@ def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(jobs.unionByName(records), ["table_name", "row_key"]).dropDuplicates(["table_name", "row_key"])
 
 
+def p2_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_shares(spark, sf_dir).select("table_name", "row_key", F.round("repeated_share", 6).alias("repeated_share"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that the field doesn't retain, where the exact share confirms it."""
     return p2_shares(spark, sf_dir).where(~F.col("retained") & (F.col("repeated_share") >= repetition.MIN_SHARE)).select("table_name", "row_key")
@@ -109,6 +113,12 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The round trip: what every document's ids say, as a digest of their bytes."""
+    ids = p8_ids(spark, sf_dir)
+    return ids.select("doc_id", F.md5(tokens.decoded(F.col("ids"))).alias("text_md5"))
+
+
 def p9_mixture(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
     return mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
 
@@ -133,7 +143,7 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.Truncation(table(spark, sf_dir, "documents")).sources()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p2_found, p2_shares, p3_found, p3_texts, p4_found, p4_classes, p4_texts, p5_found, p5_elements, p5_paragraphs, p7_found, p7_pairs, p8_ids, p9_chosen, p9_shares, p10_found, p10_limits, p10_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p2_found, p2_shares, p2_repeated, p3_found, p3_texts, p4_found, p4_classes, p4_texts, p5_found, p5_elements, p5_paragraphs, p7_found, p7_pairs, p8_ids, p8_decoded, p9_chosen, p9_shares, p10_found, p10_limits, p10_sources)}
 
 #: Records once, their elements that aren't null, and the elements' lines.
 ELEMENTS = """r as (select rec_id, any_value(source) as source, any_value(pages) as pages from recognition_json group by rec_id),
@@ -147,6 +157,15 @@ LINES = """sp as (select *, string_split(text, chr(10)) as s from el where sourc
  n as (select source, count(distinct rec_id) as n from r where source is not null group by source),
  k as (select source, form, m, m * 10 >= n as strong from (select source, form, count(distinct rec_id) as m from ln where length(replace(form, ' ', '')) >= 8 group by source, form having count(distinct rec_id) >= 4) join n using (source) where m * 40 >= n)"""
 
+#: Words of each text, and how many of them stand in a stretch of five that was said before.
+REPEATED = """tx as (select 'job_result' as table_name, job_id as row_key, markdown as text from job_result where markdown is not null
+  union all select 'recognition_json', rec_id::varchar, string_agg(text, chr(10) order by page_number, elem_no) from el where text is not null group by rec_id),
+ w as (select table_name, row_key, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') as ws from tx),
+ g as (select table_name, row_key, i, array_to_string(ws[i:i + 4], ' ') as gram from w, unnest(range(1, len(ws) - 3)) as t(i)),
+ a as (select table_name, row_key, i, row_number() over (partition by table_name, row_key, gram order by i) > 1 as again from g),
+ m as (select distinct table_name, row_key, i + d as i from a, (select unnest([0, 1, 2, 3, 4]) as d) where again),
+ c as (select table_name, row_key, count(*) as n from m group by table_name, row_key)"""
+
 ORACLE: dict[str, str] = {
     "p1_found": f"""with {ELEMENTS}, {LINES} select ln.rec_id, ln.page_number, ln.elem_no::int as elem_no, ln.line_no::int as line_no from ln join k using (source, form) where strong""",
     "p1_blocks": f"""with recursive {ELEMENTS}, {LINES}, fo as (select *, row_number() over (partition by rec_id, page_number order by elem_no, line_no) - 1 as spot, lead(form) over (partition by rec_id, page_number order by elem_no, line_no) as next from ln where length(replace(form, ' ', '')) >= 8),
@@ -158,14 +177,10 @@ ORACLE: dict[str, str] = {
 select source, block, string_agg(form, ' | ' order by place, form) as lines, count(*) as n_lines, count(*) filter (where not strong) as n_weak, max(m) as most_records from o group by source, block having bool_or(strong)""",
     "p1_cleaned": f"""with {ELEMENTS}, {LINES}, g as (select rec_id, page_number, elem_no, list(line_no) as gone from ln join k using (source, form) where strong group by all)
 select el.rec_id, el.page_number, el.elem_no::int as elem_no, label, case when gone is null then text else array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: not list_contains(gone, i)), chr(10)) end as text from el left join g using (rec_id, page_number, elem_no)""",
-    "p2_found": f"""with {ELEMENTS}, tx as (select 'job_result' as table_name, job_id as row_key, markdown as text from job_result where markdown is not null
-  union all select 'recognition_json', rec_id::varchar, string_agg(text, chr(10) order by page_number, elem_no) from el where text is not null group by rec_id),
- w as (select table_name, row_key, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') as ws from tx),
- g as (select table_name, row_key, i, array_to_string(ws[i:i + 4], ' ') as gram from w, unnest(range(1, len(ws) - 3)) as t(i)),
- a as (select table_name, row_key, i, row_number() over (partition by table_name, row_key, gram order by i) > 1 as again from g),
- m as (select distinct table_name, row_key, i + d as i from a, (select unnest([0, 1, 2, 3, 4]) as d) where again),
- c as (select table_name, row_key, count(*) as n from m group by table_name, row_key)
-select c.table_name, c.row_key from c join w using (table_name, row_key) where c.n >= 0.3 * len(w.ws)""",
+    "p2_found": f"""with {ELEMENTS}, {REPEATED} select table_name, row_key from c join w using (table_name, row_key) where c.n >= 0.3 * len(w.ws)""",
+    "p2_repeated": f"""with {ELEMENTS}, {REPEATED}, ids as (select 'job_result' as table_name, job_id as row_key from job_result union all select 'recognition_json', rec_id::varchar from r)
+select table_name, row_key, round(coalesce(c.n / nullif(len(w.ws), 0), 0), 6)::double as repeated_share from ids left join w using (table_name, row_key) left join c using (table_name, row_key)""",
+    "p8_decoded": "select doc_id, md5(coalesce(text, '')) as text_md5 from documents",
 }
 
 

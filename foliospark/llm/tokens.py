@@ -52,9 +52,18 @@ def encode_texts(texts: list[str | None], path: str) -> list[list[int]]:
     return [encode(t) if t else [] for t in texts]
 
 
-def decode_ids(ids: list[int], path: str = VOCABULARY) -> str:
-    """The text of ids: their bytes, concatenated."""
-    return encoding(path).decode_bytes(list(ids)).decode("utf-8", errors="replace")
+def decode_ids(ids: list[int], path: str = VOCABULARY) -> bytes:
+    """The bytes of ids, concatenated; part of a text's ids may end within a character."""
+    return encoding(path).decode_bytes(list(ids))
+
+
+def decoded(ids, path: str = VOCABULARY):
+    """Column of the bytes of arrays of ids; null for null."""
+
+    def decode(lists: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else decode_ids(x, path) for x in lists.to_pylist()], pa.binary())
+
+    return F.arrow_udf(decode, "binary")(ids)
 
 
 def ids_array(lists: list[list[int]]) -> pa.Array:

@@ -21,7 +21,9 @@ def test_equal_to_whole_text(spark, chunk, overlap):
     got = {r.doc_id: r.ids for r in tokens.encode_corpus(df, chunk_chars=chunk, overlap_chars=overlap).collect()}
     want = {i: v for i, v in enumerate(tokens.encode_texts(texts(), tokens.VOCABULARY))}
     assert got == want
-    assert all(tokens.decode_ids(v) == (texts()[i] or "") for i, v in got.items())
+    assert all(tokens.decode_ids(v) == (texts()[i] or "").encode() for i, v in got.items())
+    back = spark.createDataFrame([(i, v) for i, v in want.items()] + [(-1, None)], "doc_id bigint, ids array<int>").select("doc_id", tokens.decoded("ids").alias("b")).collect()
+    assert {r.doc_id: r.b if r.b is None else bytes(r.b) for r in back} == {-1: None, **{i: (t or "").encode() for i, t in enumerate(texts())}}
 
 
 def test_empty_table(spark):
