@@ -1,28 +1,27 @@
 """One consistent form for text that reads the same but is written with other characters.
 
-Texts are exploded to positioned code points (columns of code point, text and position), which are joined with the
-mapping tables by vectorised lookup: the tables travel with the function to every worker, as a broadcast side
-does, and hold only the code points that occur. Combining marks are ordered by class within their cluster, clusters
-are recomposed, and the strings are rebuilt from the columns.
+Texts are exploded to positioned code points, which are joined with a mapping of the code points that occur: their kind,
+their visible parts, the letter that they look like. Marks are ordered by class within their cluster, clusters are
+recomposed, and the strings are rebuilt. Texts that are all ASCII (with line feeds only) are in that form already; of the
+others only the words that aren't ASCII are exploded, the words between them are rows of their own.
 
 What a reader sees is kept: letter case, accents, digits, raised digits, line breaks, the number and place of spaces.
 What a reader doesn't see is unified: kinds of spaces and hyphens, invisible characters, joined letters, wide
 forms, and look-alike letters. These are decided word by word: in a word with Latin letters all look-alikes are
 folded, in a word of look-alikes alone only those of the very same shape, and only in texts whose letters are mostly Latin; a
 word with any other foreign letter stays. So a symbol such as a single rho or alpha isn't taken for a letter.
-Texts that are all ASCII (with line feeds only) are in that form already and aren't exploded.
+
+`unify` gives the same form within a batch, for operators that need it beside other work on texts.
 """
 
 from __future__ import annotations
 
-import hashlib
 import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.runtime import materialize, measured_join
@@ -113,6 +112,11 @@ def kind_of(code: int) -> int:
     return max(kinds) if kinds else PART if not parts or unicodedata.combining(chr(parts[0])) else NONE
 
 
+def letters_in(code: int) -> int:
+    """How many letters a code point's parts are."""
+    return 0 if 0xD800 <= code < 0xE000 else sum(chr(q).isalpha() for q in decomposed(code, False))
+
+
 def folded(codes: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
     """Which code points stand in a word whose look-alikes are folded."""
     kind = by_code(codes, kind_of)
@@ -123,7 +127,8 @@ def folded(codes: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
     has = lambda k: np.bincount(word, kind == k) > 0
     mixed = ~has(OTHER) & has(LATIN)
     latin = (kind == LATIN) | (mixed[word] & (kind >= SAME))
-    mostly = np.bincount(text, latin, n_texts) >= np.bincount(text, (kind >= SAME) & ~latin, n_texts)
+    letters = by_code(codes, letters_in)
+    mostly = np.bincount(text, letters * latin, n_texts) >= np.bincount(text, letters * ((kind >= SAME) & ~latin), n_texts)
     return (mixed | (~has(OTHER) & ~has(LIKE) & mostly[text[new]]))[word] & inside
 
 
@@ -179,40 +184,90 @@ def unify(texts: list[str]) -> list[str]:
     return out
 
 
-def unified(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys, `text` in the consistent form, and `changed`: whether that differs from what was given.
+NOT_ASCII = r"[^\x00-\x7F]"
 
-    Null texts stay null, empty ones empty; repeated rows each give a row; there is no shuffle.
-    """
-    schema = texts.select(*keys).schema.add("text", "string").add("changed", "boolean")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            given = batch.column("text").to_pylist()
-            form = iter(unify([t for t in given if t is not None]))
-            got = [None if t is None else next(form) for t in given]
-            yield pa.record_batch({**{k: batch.column(k) for k in keys}, "text": pa.array(got, pa.string()), "changed": pa.array([a != b for a, b in zip(got, given)])})
+def is_hard(text: Column) -> Column:
+    """Whether a text must be exploded: it has other than ASCII, or line ends other than line feeds."""
+    return text.rlike(NOT_ASCII + r"|\r")
 
-    return texts.select(*keys, "text").mapInArrow(run, schema)
 
+def mapping(texts: DataFrame) -> DataFrame:
+    """(ch, kind, letters, plain, folded): kind, number of letters and parts (character, class of mark) of each code point that occurs, and of ASCII.
 
-def digest(text: str) -> bytes:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    There are at most 1,114,112 code points, so the table is bounded whatever the corpus; it is made on the driver.
+    """
+    there = texts.where(F.col("text").rlike(NOT_ASCII)).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(NOT_ASCII), F.lit(0)))).alias("ch")).distinct()
+    codes = {ord(r.ch) for r in there.collect()} | set(range(128))
+    part = lambda q: (chr(q), unicodedata.combining(chr(q)))
+    rows = [(chr(c), kind_of(c), letters_in(c), [part(q) for q in decomposed(c, False)], [part(q) for q in decomposed(c, True)]) for c in sorted(codes)]
+    parts = "array<struct<c: string, mark: int>>"
+    return texts.sparkSession.createDataFrame(rows, f"ch string, kind int, letters int, plain {parts}, folded {parts}")
+
+
+def pieces(text: Column) -> Column:
+    """A text's pieces in order: words of ASCII with the space or line feed behind them, and the code points of other words."""
+    words = F.split(F.regexp_replace(text, r"\r\n|\r", "\n"), r"(?<=[ \n])", -1)
+    return F.flatten(F.transform(words, lambda w: F.when(w.rlike(NOT_ASCII), F.regexp_extract_all(w, F.lit("(?s)."), F.lit(0))).otherwise(F.array(w))))
+
+
+def rebuilt(hard: DataFrame) -> DataFrame:
+    """(key, form): the consistent form of texts (key, text) with unique keys. One shuffle, by key, serves all steps."""
+    rows = hard.select("key", F.posexplode(pieces(F.col("text"))).alias("pos", "ch"))
+    known = rows.join(F.broadcast(mapping(hard)), "ch", "left")  # bounded by the number of code points there are
+    kind = F.coalesce("kind", F.lit(NONE))
+    text = Window.partitionBy("key")
+    order, word = text.orderBy("pos"), Window.partitionBy("key", "word")
+    inside = kind != NONE
+    edge = F.coalesce(inside != F.lag(inside).over(order), F.lit(True))
+    marked = known.withColumns({"kind": kind, "edge": edge}).withColumn("word", F.sum(F.col("edge").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    has = lambda k: F.max(F.col("kind") == k).over(word)
+    flagged = marked.withColumns({"other": has(OTHER), "latin": has(LATIN), "like": has(LIKE)}).withColumn("mixed", F.col("latin") & ~F.col("other"))
+    foreign = F.col("kind") >= SAME
+    latin = F.when(F.col("letters").isNull(), F.length(F.regexp_replace("ch", "[^A-Za-z]", ""))).when((F.col("kind") == LATIN) | (F.col("mixed") & foreign), F.col("letters")).when(foreign, -F.col("letters")).otherwise(0)
+    mostly = F.sum(latin).over(text) >= 0
+    fold = (F.col("kind") != NONE) & (F.col("mixed") | (~F.col("other") & ~F.col("like") & mostly))
+    parts = F.when(F.col("plain").isNull(), F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("mark")))).when(fold, F.col("folded")).otherwise(F.col("plain"))
+    said = flagged.select("key", "pos", parts.alias("parts")).select("key", "pos", F.posexplode("parts").alias("at", "part"))
+    place = Window.partitionBy("key").orderBy("pos", "at").rowsBetween(Window.unboundedPreceding, 0)
+    clustered = said.withColumn("cluster", F.sum((F.col("part.mark") == 0).cast("int")).over(place))
+    sorted_ = F.array_sort(F.collect_list(F.struct(F.col("part.mark").alias("mark"), "pos", "at", F.col("part.c").alias("c"))))
+    clusters = clustered.groupBy("key", "cluster").agg(sorted_.alias("parts"))
+
+    def compose(several: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in several.to_pylist()], pa.string())
+
+    joined = F.array_join(F.transform("parts", lambda x: x["c"]), "")
+    whole = clusters.withColumn("s", F.coalesce(F.arrow_udf(compose, "string")(F.when(F.size("parts") > 1, joined)), joined))
+    form = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cluster", "s"))), lambda x: x["s"]), "")
+    return whole.groupBy("key").agg(form.alias("form"))
+
+
+def unified(texts: DataFrame) -> DataFrame:
+    """(key, text, changed): the text of each key in the consistent form, and whether that differs from what was given.
+
+    Rows delivered twice (equal keys) count once. Null texts stay null, empty ones empty; a text of nothing but invisible
+    characters becomes empty. Other columns are ignored, and an empty table gives an empty one.
+    """
+    once = texts.select("key", "text").dropDuplicates(["key"])
+    hard = once.where(is_hard(F.col("text")))
+    forms = hard.select("key", F.col("text").alias("given")).join(rebuilt(hard), "key", "left").select("key", F.coalesce("form", F.lit("")).alias("text"), "given")
+    easy = once.where(~F.coalesce(is_hard(F.col("text")), F.lit(False)))
+    return easy.select("key", "text", F.lit(False).alias("changed")).unionByName(forms.select("key", "text", (F.col("text") != F.col("given")).alias("changed")))
 
 
-def fingerprints(texts: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(key, form, raw, changed): 128-bit digests of the consistent form and of the text itself, of texts long enough."""
+def digest(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(text))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(k, t) for k, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()) if t is not None and len(t) >= min_chars]
-            form = unify([t for _, t in rows])
-            changed = [a != t for a, (_, t) in zip(form, rows)]
-            digests = [digest(a) for a in form]
-            raw = [digest(t) if c else d for d, c, (_, t) in zip(digests, changed, rows)]
-            yield pa.record_batch({"key": pa.array([k for k, _ in rows], pa.string()), "form": pa.array(digests, pa.binary()), "raw": pa.array(raw, pa.binary()), "changed": pa.array(changed, pa.bool_())})
 
-    return texts.select("key", "text").mapInArrow(run, "key string, form binary, raw binary, changed boolean")
+def fingerprints(texts: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+    """(key, form, raw, changed) of texts long enough: digests of the consistent form and of the text itself. The texts that were exploded, materialized, and the others."""
+    long = texts.select("key", "text").where(F.length("text") >= min_chars)
+    hard = long.where(is_hard(F.col("text"))).dropDuplicates(["key"])
+    forms = hard.select("key", digest(F.col("text")).alias("raw")).join(rebuilt(hard), "key", "left").select("key", digest(F.coalesce("form", F.lit(""))).alias("form"), "raw")
+    easy = long.where(~is_hard(F.col("text"))).select("key", digest(F.col("text")).alias("form"))
+    return materialize(forms.withColumn("changed", F.col("form") != F.col("raw"))), easy.withColumns({"raw": F.col("form"), "changed": F.lit(False)})
 
 
 def classes(texts: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -220,7 +275,8 @@ def classes(texts: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     One row for each text however many look the same: the links of a text are its class less the exact copies of it.
     """
-    prints = fingerprints(texts, min_chars).select("key", "form", "raw").dropDuplicates(["key"])
+    hard, easy = fingerprints(texts, min_chars)
+    prints = hard.unionByName(easy.dropDuplicates(["key"])).select("key", "form", "raw")
     copies = prints.groupBy("form", "raw").agg(F.count(F.lit(1)).alias("n"))
     several = copies.groupBy("form").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("texts")).where("texts > 1").select("form", "all")
     links = materialize(copies.join(several, "form").select("form", "raw", (F.col("all") - F.col("n")).alias("n_links")))
@@ -234,10 +290,10 @@ def same_looking(texts: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     pair was changed by the form, so only forms of changed texts are looked up: exact copies of plain text, however
     many, never meet. Pairs are between distinct texts of one form, each then with its keys.
     """
-    prints = fingerprints(texts, min_chars)
-    changed = materialize(prints.where("changed").select("key", "form", "raw").dropDuplicates(["key"]))
+    hard, easy = fingerprints(texts, min_chars)
+    changed = hard.where("changed").select("key", "form", "raw")
     wanted = materialize(changed.select("form").distinct())
-    plain = measured_join(prints.where("not changed").select("key", "form"), wanted, ["form"], "left_semi").dropDuplicates(["key"])
+    plain = measured_join(hard.where("not changed").unionByName(easy).select("key", "form"), wanted, ["form"], "left_semi").dropDuplicates(["key"])
     plain = plain.select("form", F.col("key").alias("k2"))
     right = changed.select("form", F.col("key").alias("k2"), F.col("raw").alias("r2"))
     to_plain = changed.select("form", F.col("key").alias("k1")).join(plain, "form").select("k1", "k2")

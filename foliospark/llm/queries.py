@@ -65,7 +65,7 @@ def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookalike.unified(p4_given(spark, sf_dir), ["key"]).dropDuplicates(["key"])
+    return lookalike.unified(p4_given(spark, sf_dir))
 
 
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import itertools
+import random
 import unicodedata
 
 from hypothesis import given, settings
@@ -17,8 +18,9 @@ def one_by_one(text):
     words = [list(w) for _, w in itertools.groupby(text, lambda c: kind(ord(c)) != lookalike.NONE)]
     has = lambda w, k: any(kind(ord(c)) == k for c in w)
     mixed = [has(w, lookalike.LATIN) and not has(w, lookalike.OTHER) for w in words]
-    latin = sum(kind(ord(c)) >= lookalike.LATIN and (m or kind(ord(c)) == lookalike.LATIN) for w, m in zip(words, mixed) for c in w)
-    mostly = 2 * latin >= sum(kind(ord(c)) >= lookalike.LATIN for c in text)
+    weigh = lambda c: lookalike.letters_in(ord(c)) * (kind(ord(c)) >= lookalike.LATIN)
+    latin = sum(weigh(c) for w, m in zip(words, mixed) for c in w if m or kind(ord(c)) == lookalike.LATIN)
+    mostly = 2 * latin >= sum(map(weigh, text))
     out = ""
     for w, m in zip(words, mixed):
         fold = m or (mostly and not has(w, lookalike.OTHER) and not has(w, lookalike.LIKE))
@@ -57,5 +59,18 @@ def test_pairs(spark):
     classes = {r.key: (r["class"], r.n_links) for r in lookalike.classes(df).collect()}
     assert {k: v[1] for k, v in classes.items()} == {k: sum(k in pair for pair in want) for k in {x for pair in want for x in pair}} and len({v[0] for v in classes.values()}) == 1
     assert lookalike.classes(df.limit(0)).count() == 0
-    form = {r.key: (r.text, r.changed) for r in lookalike.unified(df, ["key"]).collect()}
+    form = {r.key: (r.text, r.changed) for r in lookalike.unified(df).collect()}
     assert form["r1-1-2"] == (base, True) and form["n"] == (None, False) and form["e"] == ("", False)
+
+
+def test_rows_and_batches_agree(spark):
+    """The forms rebuilt from exploded rows are those found within batches, for marks in any order, mixed words, surrogates and long texts."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choices(ALPHABET + "\r\t.α😀ⅸ", k=rng.randint(0, 40))) for _ in range(400)]
+    texts += ["e\u0301" * 3000 + " " + "ｗｉｄｅ " * 2000, "\u0301x", "\u200b", "a\r\nb\rc", "plain", "", "ﬁne ḍ̇ Å"]
+    df = spark.createDataFrame([(f"k{i}", t, "clash") for i, t in enumerate(texts)] + [("n", None, "x"), ("k0", texts[0], "x")], "key string, text string, form string")
+    got = {r.key: (r.text, r.changed) for r in lookalike.unified(df).collect()}
+    assert got.pop("n") == (None, False) and len(got) == len(texts)
+    assert [got[f"k{i}"][0] for i in range(len(texts))] == unify(texts)
+    assert [got[f"k{i}"][1] for i in range(len(texts))] == [a != b for a, b in zip(unify(texts), texts)]
+    assert lookalike.unified(df.limit(0)).count() == 0
