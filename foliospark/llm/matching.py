@@ -50,6 +50,8 @@ LIKELIEST = 16
 CONTEXT_WEIGHT = 0.2
 #: Documents are compared whose score is at least 1 - MARGIN of the query's best, and the two best.
 MARGIN = 0.1
+#: Pairs with less overlap than this aren't compared any further.
+FAR = 0.6
 #: A pair is a match from this confidence on.
 MIN_CONFIDENCE = 0.5
 
@@ -249,13 +251,13 @@ class Block:
         second, first = np.partition(scores, -2)[-2:]
         return float(min(second, (1 - MARGIN) * first))
 
-    def scored(self, classes: np.ndarray, terms: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, seen: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(best document, full score) of each class. terms: places and weights of code and attributes; left: which attributes weren't looked up yet."""
-        code = self.code.full(classes, *terms[0])
+    def scored(self, classes: np.ndarray, terms: list[tuple[np.ndarray, np.ndarray]], more: bool, left: np.ndarray, seen: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(best document, full score) of each class. terms: places and weights of code and attributes; more: whether some of the code weren't looked up yet; left: which attributes weren't."""
+        code = self.code.full(classes, *terms[0]) if more else self.code.scores[classes]
         size = self.docs_first[classes + 1] - self.docs_first[classes]
         start = np.cumsum(size) - size
         docs = np.arange(size.sum()) + np.repeat(self.docs_first[classes] - start, size)
-        if len(docs) <= OWN_DOCUMENTS:
+        if left.any() and len(docs) <= OWN_DOCUMENTS:
             other = self.attributes.full(docs, *terms[1])
         else:
             at, idf = terms[1]
@@ -306,12 +308,13 @@ class Block:
             likely = np.zeros(len(candidates))
             np.maximum.at(likely, inverse, value[kept])
             terms = [(at[code], idf[code]), (at[~code], idf[~code])]
-            left = (np.arange(len(at)) >= k)[~code]
+            later = np.arange(len(at)) >= k
+            more, left = bool(later[code].any()), later[~code]
             if len(candidates) > LIKELIEST:  # full scores of the likeliest raise the bar for the others
-                bar = max(bar, self.bar(self.scored(np.sort(candidates[np.argpartition(likely, -LIKELIEST)[-LIKELIEST:]]), terms, left, docs)[1]))
+                bar = max(bar, self.bar(self.scored(np.sort(candidates[np.argpartition(likely, -LIKELIEST)[-LIKELIEST:]]), terms, more, left, docs)[1]))
                 candidates = candidates[likely + rest[k] >= bar - 1e-9]
             if len(candidates):
-                found, score = self.scored(candidates, terms, left, docs)
+                found, score = self.scored(candidates, terms, more, left, docs)
                 kept = score >= max(floor, self.bar(score)) - 1e-9
                 found, score = found[kept], score[kept]
             self.code.scores[np.concatenate(texts)] = 0.0
@@ -436,7 +439,7 @@ def retrieve(queries: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def measured_pairs(pairs: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """Pairs with the features of each."""
+    """Pairs with the features of each. Names, pages, contexts and boxes of pairs whose overlap is below FAR say nothing (0.5): no confidence near MIN_CONFIDENCE is to be had there."""
     best = Window.partitionBy("q").orderBy(F.desc("score"), "d")
     ranked = pairs.withColumn("rank", F.row_number().over(best)).withColumn("next", F.coalesce(F.lead("score").over(best), F.lit(0.0)))
     gap = F.when(F.col("rank") == 1, (F.col("score") - F.col("next")) / F.col("score")).otherwise(0.0)
@@ -448,11 +451,11 @@ def measured_pairs(pairs: DataFrame, queries: DataFrame, documents: DataFrame) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = {c: batch.column(c).to_pylist() for c in batch.schema.names}
-            pair = lambda of, c: [of(a, b) for a, b in zip(col[f"q_{c}"], col[f"d_{c}"])]
             known = sorted({*col["q_text"], *col["d_text"]})
             form = {t: squeezed(code_lines(u)) for t, u in zip(known, unify(known))}
             left, right = ([form[t] for t in col[c]] for c in ("q_text", "d_text"))
             same = [overlap(a, b) / len(a) if a else 0.0 for a, b in zip(left, right)]
+            pair = lambda of, c: [of(a, b) if o >= FAR else 0.5 for a, b, o in zip(col[f"q_{c}"], col[f"d_{c}"], same)]
             page = pair(lambda a, b: 0.5 if a is None or b is None else float(a == b), "page")
             given = [score_given(v) for v in col["q_score"]]
             x = np.array([np.ones(len(same)), same, col["gap"], col["mutual"], pair(name_likeness, "name"), page, pair(text_likeness, "context"), pair(box_likeness, "box"), given]).T
