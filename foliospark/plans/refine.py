@@ -268,7 +268,7 @@ def headings_relevelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with recursive {HD}, {tree_sql('hd', 't')}, lv as (select doc, title, arg_max(depth, pos) as level from t group by doc, title),
- w as (select jl.doc, jl.line_no, case when lv.level is null then jl.line else repeat('#', lv.level::int) || ' ' || lv.title end as line, lv.level, regexp_matches({stripped('jl.line')}, '^#{{1,6}}\s+.+$') as is_heading from jl
+ w as (select jl.doc, jl.line_no, case when lv.level is null then jl.line else repeat('#', lv.level::int) || ' ' || lv.title end as line, lv.level, regexp_matches({stripped('jl.line')}, '^#{{1,6}}\\s+.+$') as is_heading from jl
   left join lv on lv.doc = jl.doc and regexp_matches({stripped('jl.line')}, '^#{{1,6}}\\s+.+$') and lv.title = {stripped(f"regexp_extract({stripped('jl.line')}, '^#{{1,6}}\\s+(.+)$', 1)")})
 select doc, md5(string_agg(line, chr(10) order by line_no)) as text_md5, count(*) filter (where is_heading) as n_headings, count(level) as n_fixed, round(100.0 * count(level) / greatest(count(*) filter (where is_heading), 1), 4)::double as rate from w group by doc""")
 def texts_relevelled(spark: SparkSession, sf_dir: str) -> DataFrame:
