@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import text
 from foliospark.operators import evaluate, headers, headings, lines, ocr, records
 from foliospark.plans.records import JOBS, jobs
-from foliospark.plans.refine import DL, EL, FURNITURE, JL, NUMBERED, WS, big, elements, form_of, found_headings, markdown, stripped, styled, two_hierarchies, STYLED, TWO, BULLET_SQL, HAS_BULLET, code_elements, form_sql, CODE_EL, accurate_lines
+from foliospark.plans.refine import DL, EL, FURNITURE, JL, NUMBERED, WS, big, elements, form_of, markdown, stripped, styled, two_hierarchies, STYLED, TWO, HAS_BULLET, code_elements, CODE_EL, accurate_lines
 from foliospark.sources import files, sinks
 from foliospark.sources.tables import table
 

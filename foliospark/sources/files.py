@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import stem
-from foliospark.operators.lines import lines_of, text_protocol
+from foliospark.operators.lines import lines_of, protocol_text, text_protocol
 from foliospark.sources.tables import recognition_schema
 
 PDF_MAGIC = bytearray(b"%PDF")
@@ -29,6 +29,11 @@ def single_page(pages: DataFrame, page: int) -> DataFrame:
     return pages.where(F.col("page_no") == page).withColumn("doc", F.concat("doc", F.lit(f"_page#{page}")))
 
 
+def lacking_page(pages: DataFrame, page: int) -> DataFrame:
+    """(doc, pages) of the documents that have fewer pages than the one asked for."""
+    return pages.groupBy("doc").agg(F.max("page_no").alias("pages")).where(F.col("pages") < page)
+
+
 def recognition_files(spark: SparkSession, folder: str, corrections: bool = False) -> DataFrame:
     """Recognition JSON files below a folder: doc, path, source_file, pages, bad (text of files that are no JSON). Internal folders and, unless asked for, correction logs are left out."""
     schema = recognition_schema(None, ["source_file"]).add("bad", "string")
@@ -61,6 +66,13 @@ def raw_text_files(spark: SparkSession, folder: str) -> DataFrame:
     return text_protocol(lines_of(whole_texts(spark, folder, "*.txt"), "doc", "text"))
 
 
+def raw_text_lines(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(doc, page_no, line_no, line) of what the raw text files say, line by line; None if there are none."""
+    lines = raw_text_files(spark, folder)
+    said = lines.select("doc", "page_no", "line_no", protocol_text(F.col("line")).alias("line")).where("line is not null")
+    return None if said.isEmpty() else said
+
+
 def first_match(left: DataFrame, right: DataFrame, on: str = "doc", order: str = "path") -> DataFrame:
     """Rows of left with the first row of right that has the same name; those without one are left out (see unmatched)."""
     one = right.withColumn("_rank", F.row_number().over(Window.partitionBy(on).orderBy(order))).where("_rank = 1").drop("_rank")
@@ -74,6 +86,12 @@ def unmatched(left: DataFrame, right: DataFrame, on: str = "doc") -> DataFrame:
 SPANS = "doc string, page int, page_height double, page_width double, block_no int, line_no int, line_bbox array<double>, span_no int, text string, size double, flags int, font string, color int"
 
 
+def span_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Styled spans that were extracted before: Parquet or JSON lines below a folder, in the columns of SPANS; what a file lacks is null."""
+    read = spark.read.schema(SPANS).option("recursiveFileLookup", True)
+    return read.option("pathGlobFilter", "*.parquet").parquet(folder).unionByName(read.option("pathGlobFilter", "*.json*").json(folder))
+
+
 def pdf_spans(files: DataFrame, extract: Callable[[str, bytes], list[tuple]]) -> DataFrame:
     """Styled text spans of PDFs. extract: gets a document's name and bytes and gives rows of SPANS, by whatever PDF library there is."""
 

@@ -24,6 +24,12 @@ def write_texts(texts: DataFrame, folder: str, mode: str = "overwrite", buckets:
     bucketed(texts.select("doc", "text"), buckets).repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(folder)
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder is there, on whatever storage its path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return place.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(place)
+
+
 def read_texts(spark: SparkSession, folder: str, docs: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """(doc, text) as write_texts wrote them; of the named documents only their buckets are read."""
     rows = spark.read.parquet(folder)

@@ -50,6 +50,34 @@ def test_sinks(spark, tmp_path):
     assert json.loads(report.text) == {"n": 1, "v": 0.5}
 
 
+def test_command(spark, tmp_path):
+    """A folder refined by the command: headers out, marks in standard form, corrections from spans, and resumed for what is new."""
+    from foliospark.__main__ import main, run
+    from foliospark.pipeline import RefineOptions, RunConfig
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "spans").mkdir()
+
+    def document(name):
+        el = lambda label, text, order: {"label": label, "text": text, "reading_order": order}
+        pages = [{"page_number": n, "elements": [el("page_header", "The Manual", 0), el("title", "# Pumps", 1), el("para", "The pump was dra1ned by the crew", 2), el("list", "• one\n• two", 3)]} for n in (1, 2)]
+        (tmp_path / f"in/{name}.json").write_text(json.dumps({"source_file": f"{name}.pdf", "pages": pages}))
+        rows = [{"doc": name, "page": n, "page_height": 800.0, "page_width": 600.0, "block_no": 1, "line_no": k, "line_bbox": [0.0, 200.0 + k, 1.0, 2.0], "span_no": 0, "text": t, "size": size, "flags": 0, "font": "f", "color": 0} for n in (1, 2) for k, (t, size) in enumerate([("Pumps", 20.0), ("The pump was drained by the crew", 10.0)])]
+        (tmp_path / f"spans/{name}.json").write_text("\n".join(map(json.dumps, rows)))
+
+    document("a")
+    out, config = str(tmp_path / "out"), RunConfig(str(tmp_path / "in"), resume=True)
+    (text,) = [r.text for r in run(spark, config, out, RefineOptions(), str(tmp_path / "spans")).collect()]
+    assert text.count("The Manual") == 1 and text.count("was drained") == 2 and text.count("- one") == 2 and "page_break_1" in text and text.count("# Pumps") == 2
+    document("b")
+    assert sorted(r.doc for r in run(spark, config, out, RefineOptions(), str(tmp_path / "spans"), as_files=True).collect()) == ["a", "b"]
+    assert "was drained" in (tmp_path / "out/b.md").read_text()
+    main([str(tmp_path / "plain"), "--data-dir", str(tmp_path / "in"), "--page", "2"])
+    assert {r.doc for r in sinks.read_texts(spark, str(tmp_path / "plain")).collect()} == {"a", "b"}
+    pages = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "doc string, page_no int")
+    assert [tuple(r) for r in files.lacking_page(pages, 2).collect()] == [("b", 1)]
+
+
 def test_log_streams(spark, tmp_path):
     rows = [("a", 1, "Step 1/3: x"), ("a", 2, "Step 12 finished"), ("a", 3, "__DONE__"), ("a", 4, "late"), ("b", 1, "Step 2/3"), (None, 1, "x"), ("b", 2, None), ("a", 1, "Step 1/3: x")]
     df = spark.createDataFrame(rows, "job_id string, s int, line string").select("job_id", F.timestamp_seconds("s").alias("ts"), "line", F.timestamp_seconds("s").alias("received_at"))
