@@ -123,7 +123,7 @@ def json_form(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"(?U)(\w+)=([\w\-]+)", "$1-$2"), r"(?U),\s*([}\]])", "$1")
 
 
-#: Forms of list marks, in the order in which they are tried, and what a line's beginning becomes.
+#: Forms of list marks, in the order in which they are tried, and what a line's beginning becomes.
 BULLETS = [
     (r"(?U)^(\s*)-\s*[•◦]\s*", "$1- "), (r"(?U)^(\s*)-\s*(\d+\.)\s*", "$1$2 "), (r"(?U)^(\s*)[•◦]\s*", "$1- "), (r"(?U)^(\s*)-\s*(\d+)\s+", "$1$2. "), (r"(?U)^(\s*)(\d+)\s+", "$1$2. "),
 ]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.text import bullet_line, has_bullet
 
-#: A separator line, with the blank lines that follow it.
+#: A separator line, with the blank lines that follow it, and a page marker.
 SEPARATOR = r"(?m)^---\s*$"
 MARKER = r"<!-- page_break_\d+ -->"
 

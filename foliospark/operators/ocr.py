@@ -9,6 +9,7 @@ from foliospark.functions.similarity import sm_ratio
 from foliospark.functions.text import is_contents_entry, ratio_of_lengths, text_lines
 from foliospark.runtime import spread
 
+#: How like two lines must be, and how near in length.
 MIN_SIMILARITY = 0.65
 MIN_LENGTH_RATIO = 0.7
 

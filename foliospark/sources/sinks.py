@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.text import suffix
 
+#: Suffixes of images.
 FIGURE_SUFFIXES = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".webp")
 
 
@@ -96,7 +97,7 @@ def corrections_log(corrections: DataFrame) -> DataFrame:
     return corrections.select("doc", F.col("page_no").alias("page"), F.col("text").alias("ocr_text"), F.col("line").alias("corrected_text"), "similarity")
 
 
-#: Names of a difference in a report.
+#: Names of a difference in a report.
 DIFFERENCE_NAMES = {
     "difference_number": "difference_number", "kind": "difference_type", "position_a": "position_file1", "position_b": "position_file2", "text_a": "file1_text", "text_b": "file2_text",
     "before_a": "context_before_file1", "after_a": "context_after_file1", "before_b": "context_before_file2", "after_b": "context_after_file2", "words_a": "file1_words_affected", "words_b": "file2_words_affected",
