@@ -429,9 +429,35 @@ def code_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_elements(spark, sf_dir).select("doc", *big("page_number", "elem_no"), text.code_class(F.col("text")).alias("class"))
 
 
-@query()
+CLASS = f"""case when s = '' then 'empty' when json_valid({json_sql('s')}) then 'json'
+ when regexp_matches(s, '{text.PYTHON_WORDS}') or regexp_matches(s, '{text.PYTHON_SHAPES}') then 'python' when regexp_matches(s, '{text.DEVICE_CONFIG}') then 'config' when regexp_matches(s, '{text.DEVICE_OUTPUT}') then 'output'
+ when regexp_matches(s, '{text.HTTP_REQUEST}') then 'http' when not regexp_matches(s, '{text.KEY_VALUE_STOP}') and (contains(s, ':') or regexp_matches(s, '\\s{{2,}}')) then 'key_value' else 'plain' end"""
+JUMP = "('continue', 'break', 'pass')"
+GOES_ON = "^(?:(?:except|elif|else|finally|class|def):|(?:continue|break|pass|return)\\b)"
+
+
+def folded(moves: str, step: str) -> str:
+    """Lines with a running depth: moves are texts of `closes opens line`, the state is `depth text`; step: how many spaces a level has."""
+    level = "greatest(string_split(t, chr(1))[1]::int - string_split(m, chr(1))[1]::int, 0)"
+    line = f"case when string_split(m, chr(1))[3] = '' then '' else repeat('{step}', {level}) || string_split(m, chr(1))[3] end"
+    return f"""regexp_replace(string_split(list_reduce(list_prepend('0' || chr(1), {moves}),
+ lambda t, m: greatest({level} + string_split(m, chr(1))[2]::int, 0) || chr(1) || string_split(t, chr(1))[2] || {line} || chr(10)), chr(1))[2], '\\n$', '')"""
+
+
+BY_SYNTAX = folded(f"""list_transform(bare, lambda x, i: regexp_matches(x, '^(?:except|elif|else|finally):')::int || chr(1) || ((x not in {JUMP} and ends_with(x, ':'))::int
+ - (x in {JUMP} and coalesce(bare[i + 1], '') <> '' and not regexp_matches(coalesce(bare[i + 1], ''), '{GOES_ON}'))::int) || chr(1) || x)""", "    ")
+BY_BLOCK = folded("""list_transform(list_filter(bare, lambda x: x <> ''), lambda x: (lower(x) in ('exit', 'end'))::int || chr(1) || regexp_matches(x, '(?i)^(?:configure terminal|interface|router|vlan|spbm)\\b')::int || chr(1) || x)""", "  ")
+BY_STEP = "array_to_string(list_transform(bare, lambda x, i: case when x = '' then '' else repeat('    ', round_even((depth[i] - least) / step, 0)::int) || x end), chr(10))"
+KEYED = """array_to_string(list_transform(bare, lambda x: case when contains(x, ':') and not regexp_matches(x, '^(?:if|elif|else|for|while|try|except|finally|with|def|class).*:')
+ then trim(left(x, instr(x, ':') - 1)) || ': ' || trim(substr(x, instr(x, ':') + 1)) else x end), chr(10))"""
+
+
+@query(f"""with {CODE_EL}, k as (select *, {CLASS} as class, string_split(s, chr(10)) as raw from ce), l as (select *, list_transform(raw, lambda x: {stripped('x')}) as bare, list_transform(raw, lambda x: length(regexp_extract(x, '^{WS}*'))) as depth from k),
+ d as (select *, list_min(list_filter(depth, lambda v, i: bare[i] <> '')) as least from l), e as (select *, coalesce(list_min(list_filter(depth, lambda v, i: bare[i] <> '' and v > least)) - least, 4)::double as step from d)
+select doc, page_number, elem_no, '```' || case class when 'python' then 'python' when 'http' then 'http' else '' end || chr(10) || case class when 'python' then regexp_replace(case when len(list_filter(raw, lambda x, i: bare[i] <> '' and regexp_matches(x, '^[ \\t]'))) > 0 then {BY_STEP} else {BY_SYNTAX} end, '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g')
+ when 'config' then {BY_BLOCK} when 'key_value' then {KEYED} else s end || chr(10) || '```' as formatted from e""")
 def code_formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code_elements(spark, sf_dir).select("doc", "page_number", "elem_no", code.format_code(F.col("text")).alias("formatted"))
+    return code_elements(spark, sf_dir).select("doc", *big("page_number", "elem_no"), code.format_code(F.col("text")).alias("formatted"))
 
 
 def code_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
