@@ -509,13 +509,22 @@ def catalogues_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.catalogues_removed(lines.assembled(rows), rows).select("doc", F.md5("text").alias("text_md5"))
 
 
-@query()
+#: Tables whose tags have no attributes, as the ones given are, in Markdown.
+CELLS = f"""list_transform(regexp_extract_all(text, '<tr>(.*?)</tr>', 1, 's'), lambda r: list_transform(regexp_extract_all(r, '<t[hd]>(.*?)</t[hd]>', 1, 's'), lambda c: replace(trim(regexp_replace(c, '{WS}+', ' ', 'g')), '|', '\\|')))"""
+ROW = "'| ' || array_to_string(list_concat(c, list_transform(range(len(c), width), lambda i: '')), ' | ') || ' |'"
+TABLES = f"""tc as (select *, list_filter({CELLS}, lambda c: len(c) > 0) as cs from el where label = 'tab' and text is not null), tw as (select *, list_max(list_transform(cs, lambda c: len(c))) as width from tc),
+ tm as (select doc, page_number, elem_no, text, case when not contains(text, '<') then {stripped('text')} when len(cs) = 0 then '' else array_to_string(list_concat([list_transform(cs[1:1], lambda c: {ROW})[1], '|' || repeat(' --- |', width::int)], list_transform(cs[2:], lambda c: {ROW})), chr(10)) end as table_md from tw)"""
+
+
+@query(f"with {EL}, {TABLES} select doc, page_number::bigint as page_number, elem_no, table_md from tm")
 def tables_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = elements(spark, sf_dir, ("label", "text")).where("label = 'tab' and text is not null")
-    return rows.select("doc", "page_number", "elem_no", tables.html_table_to_md(F.col("text")).alias("table_md"))
+    return rows.select("doc", *big("page_number", "elem_no"), tables.html_table_to_md(F.col("text")).alias("table_md"))
 
 
-@query()
+@query(f"""with {EL}, {TABLES}, pc as (select doc, page_number, string_agg(text, chr(10) || chr(10) order by coalesce(reading_order, 0), elem_no) as content from el where text is not null group by doc, page_number),
+ a as (select doc, string_agg(content, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by page_number) as text from pc group by doc), g as (select doc, list(text || chr(1) || table_md order by page_number, elem_no) as pairs from tm where text <> '' group by doc)
+select a.doc, md5(case when pairs is null then a.text else list_reduce(list_prepend(a.text, pairs), lambda t, p: replace(t, string_split(p, chr(1))[1], string_split(p, chr(1))[2])) end) as text_md5 from a left join g using (doc)""")
 def tables_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = elements(spark, sf_dir)
     return tables.tables_refined(lines.assembled(rows), rows).select("doc", F.md5("text").alias("text_md5"))
