@@ -251,7 +251,18 @@ def section_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headings.section_levels(headings.nested(found_headings(spark, sf_dir))).select("doc", "title", *big("level"))
 
 
-@query()
+def nested_json_sql(deepest: int = 6) -> str:
+    """CTEs from t (doc, pos, path as list) to each document's nested JSON, level by level from the innermost out."""
+    listed = tree_sql("hd", "t").replace("title as path", "[title] as path").replace("p.path || ' > ' || c.title", "list_append(p.path, c.title)")
+    steps = [listed, f"r{deepest} as (select doc, path, min(pos) as pos, '{{}}' as json from t group by doc, path)"]
+    entry = "to_json(path[-1])::varchar || ': ' || json"
+    for k in range(deepest, 1, -1):
+        steps.append(f"i{k} as (select doc, path[:{k - 1}] as path, '{{' || string_agg({entry}, ', ' order by pos) || '}}' as inside from r{k} where len(path) = {k} group by 1, 2)")
+        steps.append(f"r{k - 1} as (select r.doc, r.path, r.pos, coalesce(inside, json) as json from r{k} r left join i{k} i on i.doc = r.doc and i.path = r.path where len(r.path) < {k})")
+    return ",\n".join(steps) + f"\nselect doc, '{{' || string_agg({entry}, ', ' order by pos) || '}}' as hierarchy from r1 group by doc"
+
+
+@query(f"with recursive {HD}, {nested_json_sql()}")
 def hierarchies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headings.hierarchy_json(headings.nested(found_headings(spark, sf_dir)))
 
