@@ -44,6 +44,8 @@ OWN_DOCUMENTS = 2_000
 LEAST_TASKS = 6
 #: Postings that a query looks up before it takes its bar from what it found.
 LOOKED_UP = 1024
+#: Postings that are looked up beyond that, before documents are scored one by one.
+FURTHER = 4_000
 #: Documents that are scored in full first, to raise the bar.
 LIKELIEST = 16
 #: What an occurrence in the context counts, beside one in the code (BM25F).
@@ -116,12 +118,12 @@ def overlap(a: str, b: str) -> int:
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    v = full
-    for c in b:
-        u = v & where.get(c, 0)
-        v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+    full = v = (1 << len(a)) - 1
+    for m in map(where.get, b):
+        if m:  # what is carried beyond the last bit never comes back
+            u = v & m
+            v = (v + u) | (v - u)
+    return len(a) - (v & full).bit_count()
 
 
 def name_likeness(a: str | None, b: str | None) -> float:
@@ -211,10 +213,12 @@ class Postings:
 
     def look_up(self, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
         """Add the terms' contributions to their owners' scores; the owners, once for each term."""
-        spans = [(self.first[a], self.first[a + 1]) for a in at]
-        owners = np.concatenate([self.owner[a:b] for a, b in spans]) if spans else np.zeros(0, np.int32)
-        if len(owners):
-            np.add.at(self.scores, owners, np.concatenate([w * self.saturation[a:b] for w, (a, b) in zip(idf, spans)]))
+        if not len(at):
+            return np.zeros(0, np.int32)
+        start, end = self.first[at], self.first[at + 1]
+        spans = list(zip(start.tolist(), end.tolist()))
+        owners = np.concatenate([self.owner[a:b] for a, b in spans])
+        np.add.at(self.scores, owners, np.repeat(idf, end - start) * np.concatenate([self.saturation[a:b] for a, b in spans]))
         return owners
 
     def full(self, owners: np.ndarray, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -302,6 +306,12 @@ class Block:
                 bar = max(bar, min(second, (1 - MARGIN) * value[top]))
         found, score = np.zeros(0, np.int64), np.zeros(0)
         if texts:
+            # some more terms while they are cheap: what is left can then lift few others
+            more = max(k, int(np.searchsorted(hits, looked_up + FURTHER, "right")))
+            own = code[k:more]
+            texts.append(self.code.look_up(at[k:more][own], idf[k:more][own]))
+            docs.append(self.attributes.look_up(at[k:more][~own], idf[k:more][~own]))
+            k = more
             classes, value = self.partial(np.concatenate(texts), np.concatenate(docs))
             kept = value + rest[k] >= bar - 1e-9
             candidates, inverse = np.unique(classes[kept], return_inverse=True)
