@@ -249,10 +249,10 @@ def unified(texts: DataFrame) -> DataFrame:
     Rows delivered twice (equal keys) count once. Null texts stay null, empty ones empty; a text of nothing but invisible
     characters becomes empty. Other columns are ignored, and an empty table gives an empty one.
     """
-    once = texts.select("key", "text").dropDuplicates(["key"])
-    hard = once.where(is_hard(F.col("text")))
+    given = texts.select("key", "text")
+    hard = given.where(is_hard(F.col("text"))).dropDuplicates(["key"])  # copies are equal, so each kind is freed of its own: what isn't exploded is shuffled once
     forms = hard.select("key", F.col("text").alias("given")).join(rebuilt(hard), "key", "left").select("key", F.coalesce("form", F.lit("")).alias("text"), "given")
-    easy = once.where(~F.coalesce(is_hard(F.col("text")), F.lit(False)))
+    easy = given.where(~F.coalesce(is_hard(F.col("text")), F.lit(False))).dropDuplicates(["key"])
     return easy.select("key", "text", F.lit(False).alias("changed")).unionByName(forms.select("key", "text", (F.col("text") != F.col("given")).alias("changed")))
 
 
