@@ -6,6 +6,7 @@ A null gives null unless said otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -35,6 +36,13 @@ CODE_MARKS = [
 ]
 COMMAND_MARKS = [r"^\s*[a-z-]+\s+--?\w+", r"^\s*(sudo|cd|ls|cp|mv|rm|mkdir|chmod|chown)\b", r"^\s*(git|npm|pip|docker|kubectl)\b", r"\s-[a-zA-Z]\b", r"\s--\w+"]
 CONFIG_MARKS = [r"^\s*\w+\s*[=:]\s*\w+", r"\w+\s*=\s*\w+", r"^\s*\[.*\]", r"^\s*#.*", r"\{[^}]*:", r"\w+\.\w+\s*=", r":\s*\d+"]
+#: By mark: texts one of which every match contains; they are looked for before the mark is.
+NEEDED = {
+    CODE_MARKS[0]: ("def",), CODE_MARKS[1]: ("class",), CODE_MARKS[2]: ("import",), CODE_MARKS[3]: ("from",),
+    CODE_MARKS[4]: ("int", "str", "bool", "float", "void", "char", "public", "private", "static"), CODE_MARKS[6]: ("if", "else", "for", "while", "return", "function", "var", "let", "const"),
+    CODE_MARKS[7]: ("=",), CODE_MARKS[8]: (".",), COMMAND_MARKS[0]: ("-",), COMMAND_MARKS[3]: ("-",), COMMAND_MARKS[4]: ("--",),
+    CONFIG_MARKS[0]: ("=", ":"), CONFIG_MARKS[1]: ("=",), CONFIG_MARKS[2]: ("[",), CONFIG_MARKS[3]: ("#",), CONFIG_MARKS[4]: ("{",), CONFIG_MARKS[5]: ("=",), CONFIG_MARKS[6]: (":",),
+}
 #: Words and shapes of Python, of device configuration, of requests.
 PYTHON_WORDS = r"(?i)\b(def|class|import|from|if|elif|else|for|while|try|except|finally|with|return|yield|lambda|async|await|print)\b"
 PYTHON_SHAPES = r"(?m)^\s*(def|class)\s+\w+|^\s*(import|from)\s+\w+|^\s*(if|elif|else|for|while|try|except|finally|with)\s*.*:|^\s*@\w+|^\s*#.*|print\s*\(|=\s*\[.*\]|=\s*\{.*\}"
@@ -44,8 +52,13 @@ DEVICE_OUTPUT = r"#\s*show\b"
 HTTP_REQUEST = r"(?i)^(GET|POST|PUT|DELETE)\b"
 
 
+def single_spaced(text: Column) -> Column:
+    """Every run of white space as one space; runs that are one already aren't rewritten."""
+    return F.regexp_replace(text, r"(?U) \s+|[^\S ]\s*", " ")
+
+
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(single_spaced(text))
 
 
 def header_form(text: Column) -> Column:
@@ -90,17 +103,21 @@ def code_form(text: Column, aggressive: bool = False) -> Column:
     if aggressive:
         out = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), DIGRAPHS, out)
     kept = r"[^\p{L}\p{N}\s\-_]" if aggressive else r"""[^\p{L}\p{N}\s\-_.,;:()\[\]{}="'<>/\\@#$%&*+|~`^?!]"""
-    return squeeze(F.regexp_replace(F.regexp_replace(out, r"(?U)\s+", " "), kept, " "))
+    return squeeze(F.regexp_replace(single_spaced(out), kept, " "))
+
+
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value computed once however often `of` uses it, inside lambdas too."""
+    return F.element_at(F.transform(F.array(value), of), 1)
 
 
 def content_type(text: Column) -> Column:
     """code, command, config, natural_language or mixed, by the number of marks in the first 500 characters; ties go in that order. Null and short texts are mixed."""
-    sample = F.lower(F.substring(text, 1, 500))
-    code, command, config = (sum((sample.rlike("(?U)" + m).cast("int") for m in marks), F.lit(0)) for marks in (CODE_MARKS, COMMAND_MARKS, CONFIG_MARKS))
-    most = F.greatest(code, command, config)
-    kind = F.when(code == most, "code").when(command == most, "command").otherwise("config")
-    typed = F.when(most >= 2, kind).when(most > 0, "mixed").otherwise("natural_language")
-    return F.when(text.isNull() | (F.length(F.trim(text)) < 3), "mixed").otherwise(typed)
+    has = lambda x, m: reduce(Column.__or__, [x.contains(t) for t in NEEDED[m]]) & x.rlike("(?U)" + m) if m in NEEDED else x.rlike("(?U)" + m)
+    marks = lambda x: F.array(*[sum((has(x, m).cast("int") for m in marks), F.lit(0)) for marks in (CODE_MARKS, COMMAND_MARKS, CONFIG_MARKS)])
+    kind = lambda n, most: F.when(n[0] == most, "code").when(n[1] == most, "command").otherwise("config")
+    typed = lambda n: let(F.array_max(n), lambda most: F.when(most >= 2, kind(n, most)).when(most > 0, "mixed").otherwise("natural_language"))
+    return F.when(text.isNull() | (F.length(F.trim(text)) < 3), "mixed").otherwise(let(let(F.lower(F.substring(text, 1, 500)), marks), typed))
 
 
 def code_class(text: Column) -> Column:

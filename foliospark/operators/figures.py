@@ -43,8 +43,8 @@ def figure_contexts(elements: DataFrame, max_chars: int = MAX_CONTEXT) -> DataFr
     return figures.select("doc", "page_number", "elem_no", "section_start", "section_end", cut.alias("context"))
 
 
-def neighbours(elements: DataFrame, window: int = 3) -> DataFrame:
-    """(doc, page_number, elem_no, context) of each code element: texts of up to `window` elements on either side, by reading order.
+def neighbours(elements: DataFrame, window: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, page_number, elem_no, context) and `keep` of each code element: texts of up to `window` elements on either side, by reading order.
 
     Before it paragraphs, headers, titles and lists count, after it not lists.
     """
@@ -52,7 +52,7 @@ def neighbours(elements: DataFrame, window: int = 3) -> DataFrame:
     pick = lambda labels: F.when(F.col("label").isin(*labels), F.coalesce("text", F.lit("")))
     before = F.collect_list(pick(("para", "header", "title", "list"))).over(order.rowsBetween(-window, -1))
     after = F.collect_list(pick(("para", "header", "title"))).over(order.rowsBetween(1, window))
-    return ordered_elements(elements).withColumn("context", F.array_join(F.concat(before, after), " ")).where("label = 'code'").select("doc", "page_number", "elem_no", "context")
+    return ordered_elements(elements).withColumn("context", F.array_join(F.concat(before, after), " ")).where("label = 'code'").select("doc", "page_number", "elem_no", "context", *keep)
 
 
 def figure_infos(elements: DataFrame, files: DataFrame | None = None) -> DataFrame:

@@ -495,9 +495,9 @@ def code_blocks_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def code_page_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces, pages = code_pages(spark, sf_dir)
-    context = figures.neighbours(elements(spark, sf_dir)).select("doc", F.col("page_number").alias("page_no"), "elem_no", "context")
-    asked = pieces.where("code is not null").join(context, ["doc", "page_no", "elem_no"]).select("doc", (F.col("page_no") * 100_000 + F.col("elem_no")).alias("elem_no"), "code", "context", F.lit(None).cast("array<double>").alias("bbox"))
+    _, pages = code_pages(spark, sf_dir)
+    pieces = figures.neighbours(elements(spark, sf_dir), keep=("text",)).where("text is not null")
+    asked = pieces.select("doc", (F.col("page_number") * 100_000 + F.col("elem_no")).alias("elem_no"), F.col("text").alias("code"), "context", F.lit(None).cast("array<double>").alias("bbox"))
     best = code.distinct_matches(code.page_matches(asked, pages))
     return best.select("doc", "elem_no", "page_no", "strategy", F.round("confidence", 4).alias("confidence"), F.md5("pdf_text").alias("text_md5"))
 

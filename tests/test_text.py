@@ -1,11 +1,12 @@
+import difflib
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.functions import similarity, text
-from foliospark.functions.search import at_most, best_run, best_window, likeness
+from foliospark.functions import search, similarity, text
+from foliospark.functions.search import Lanes, PageLines, Seeds, at_most, best_run, best_window, blocks, likeness, likeness_from, run_from
 from foliospark.operators import code, figures, headers, lines, ocr, tables
 
 
@@ -86,6 +87,42 @@ def test_bounded_search_finds_the_first_best():
     assert likeness("", "x", True) == at_most("x", "", False) == 0.0 and best_run([{"plain": "a", "hard": "a"}], [{}, {}]) is None and best_window(1, "x", False, [""], [True], [False]) is None
 
 
+def test_search_from_a_bar_equals_the_matcher():
+    rng = random.Random(5)
+    for signs, most in (("ab", 40), ("abc=(", 300), ("abcdefghijklmnopqrstuvwxyz0123456789 ()_", 600)) * 12:
+        shared = "".join(rng.choices(signs, k=30))
+        a, b = ["".join(rng.choices(signs, k=rng.randint(0, most))) + shared + "".join(rng.choices(signs, k=rng.randint(0, most))) for _ in "ab"]
+        matcher = difflib.SequenceMatcher(None, a, b)
+        size = sum(m.size for m in matcher.get_matching_blocks())
+        assert blocks(a, Seeds(b)) == blocks(a, Seeds(b), size) == size and blocks(a, Seeds(b), size + 1) in (-1, size)
+        assert size <= Lanes(["x", a, "", b]).common(b)[1] and Lanes(["x", a, "", b]).common(b)[2:] == [0, len(b)]
+        for natural in (False, True):
+            value = likeness(a, b, natural)
+            assert likeness_from(Lanes([a]), Seeds(b), natural, value) == value and likeness_from(Lanes([a]), Seeds(b), natural, value + 1e-9) is None
+    assert likeness_from(Lanes([""]), Seeds("x"), False, 0.1) is None and likeness_from(Lanes(["b a"]), Seeds("a b"), True, 0.6) == 0.8
+
+
+def test_unlike_lines_cost_no_matcher(monkeypatch):
+    used = []
+    monkeypatch.setattr(search, "SequenceMatcher", lambda *a: used.append(a) or difflib.SequenceMatcher(*a))
+    unlike = [chr(97 + i % 3) * 5 + " zzzz yyyy " * (i % 2) for i in range(30)]
+    page = PageLines([*unlike, "def f(x):", "return x"], [i % 2 == 0 for i in range(32)], [False] * 32)
+    assert run_from(["def f(x):", "return x"], ["def f(x):", "return x"], page, 0.4) == (30, 1.0) and not used
+    assert run_from(["qqq www", "uuu ooo"], ["qqq www", "uuu ooo"], page, 0.4) is None and not used
+    assert likeness_from(Lanes(["abc " * 40]), Seeds("qwe " * 40), False, 0.4) is None and not used
+
+
+def test_content_type_finds_each_mark_once(spark):
+    cases = ["print(x)", "strong interest", "a.b = c", "x\n[a]", "  [a] b", "#x", "a --b", "{x: 1}", "run -v", "  git push --all", "from a import b", "class Abc", "const x = [1]", "def f (", "a:  7", "ls", "Every pump. Then", "é.é = é", "x"]
+    marks = [text.CODE_MARKS, text.COMMAND_MARKS, text.CONFIG_MARKS]
+    rows = spark.createDataFrame([(x,) for x in cases], "x string").select("x", text.content_type(F.col("x")).alias("kind"), *[F.array(*[F.lower("x").rlike("(?U)" + m).cast("int") for m in ms]).alias(f"m{k}") for k, ms in enumerate(marks)]).collect()
+    for r in rows:
+        n = [sum(r[f"m{k}"]) for k in range(3)]
+        assert r.kind == ("mixed" if len(r.x.strip()) < 3 else ("code", "command", "config")[n.index(max(n))] if max(n) >= 2 else "mixed" if max(n) else "natural_language"), r
+    plan = spark.range(1).select(F.transform(F.array(F.lit("x")), text.content_type).alias("kind"))._jdf.queryExecution().analyzed().toString()
+    assert all(plan.count(f"(?U){m})") + plan.count(f"(?U){m},") <= 1 for ms in marks for m in ms)
+
+
 def test_code_search(spark):
     pages = spark.createDataFrame([(1, 1, "The page begins\n\n  def f(x):\n    return x + 1\n\nThe page ends"), (1, 2, "Nothing like it"), (2, 1, None)], "doc int, page_no int, content string")
     pieces = [(1, 1, 1, "def f(x):\nreturn x+1"), (1, 1, 2, None), (1, 2, 1, "a = [1, 2, 3]\nb = 5"), (2, 1, 1, "x = 1"), (3, 1, 1, "y = 2")]
